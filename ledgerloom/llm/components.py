@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = stage(now, "stars")
     seen = _fingerprint(now)
     while seen[0]:
-        both = stage(now.select(F.col("u").alias("x"), F.col("v").alias("y")).union(now.select("v", "u")), "stars")
+        both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).union(now.select("v", "u"))
         least = stage(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")), "stars")
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v"))
         # a node's larger neighbours go to its least one; u > v always, as v is at most x

@@ -147,7 +147,7 @@ def _search(dims: int, cells: int, top: int):
                     yield from done()
                     key = (row.qblock, row.slice)
                     qids = np.frombuffer(row.qids, dtype="<i8")
-                    queries = np.frombuffer(row.queries, dtype="<i8").reshape(-1, dims)
+                    queries = np.frombuffer(row.queries, dtype="<i8").reshape(len(qids), dims)
                     best = [(np.zeros(0), np.zeros(0, dtype=np.int64))] * len(qids)
                 ids = np.frombuffer(row.ids, dtype="<i8")
                 shape = (len(ids), dims)

@@ -154,8 +154,8 @@ def judge(docs: DataFrame, rounds: int = ROUNDS, drop_text: bool = False) -> Dat
     care. An empty table gives no rows. With drop_text the result has no text.
     """
     out = measured(docs)
-    if drop_text:  # then the measures are small, and kept in the shared folder between the two passes
-        out = stage(out.drop("text"), "quality-measures")
+    # written once: a filter pushed below the measures would repeat them
+    out = stage(out.drop("text") if drop_text else out, "quality-measures")
     cast = votes()
     names = [f"_vote_{k}" for k in cast]
     out = out.withColumns({f"_vote_{k}": v for k, v in cast.items()})

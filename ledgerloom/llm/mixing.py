@@ -88,8 +88,9 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     times = F.when(whole > 0, F.array_repeat(F.lit(None).cast("int"), whole)).otherwise(F.array().cast("array<int>"))
     times = F.concat(times, F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
     rows = mixed.withColumn("_mix_part", F.explode(times))
-    # up to the end of word number _mix_part
-    first = F.expr("regexp_extract(text, concat('^[ \\\\x09-\\\\x0D]*(?:[^ \\\\x09-\\\\x0D]+[ \\\\x09-\\\\x0D]+){', _mix_part - 1, '}[^ \\\\x09-\\\\x0D]+'), 0)")
+    # up to the end of word number _mix_part; one repeated class at a time, as a repeated group would recurse for each word
+    with_blanks = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0)
+    first = F.array_join(F.slice(with_blanks, F.lit(1), F.col("_mix_part")), "")
     rows = rows.withColumn("text", F.when(F.col("_mix_part").isNull(), F.col("text")).otherwise(first))
     if "n_chars" in columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_mix_part").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

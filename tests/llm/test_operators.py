@@ -309,3 +309,40 @@ def test_pipeline(spark, rows, tmp_path):
     assert not bad & {r["doc_id"] for r in steps[0].collect()} and steps[1].count() == steps[0].count()
     sizes = sum(len(words(r["text"])) for r in steps[3].collect())
     assert sum(r["length"] for r in steps[4].collect()) == sizes
+
+
+def test_mix_documents_cuts_long_texts_at_a_word(spark):
+    long = "  " + " \t\n".join(f"w{i}" for i in range(30000)) + " "
+    docs = spark.createDataFrame([(1, "a", long, 7), (2, "b", "x y", 3), (3, "a", None, 0), (4, None, "z", 1)], "doc_id long, source string, text string, n_chars long")
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(docs.selectExpr("doc_id", "source", "coalesce(size(filter(split(text, '[ \t\n]+'), w -> w != '')), 0) AS size").selectExpr("doc_id", "source", "CAST(greatest(size, 0) AS long) AS size")).collect()}
+    rows = mixing.mix_documents(docs).collect()
+    assert sum(len(r["text"].split()) for r in rows if r["doc_id"] == 1) == taken[1]
+    assert all(long.startswith(r["text"]) for r in rows if r["doc_id"] == 1) and any(r["text"] != long for r in rows if r["doc_id"] == 1)
+    assert not any(r["doc_id"] == 3 for r in rows)
+
+
+def test_line_verification_equals_edit_distance(spark):
+    rng = random.Random(3)
+    lines = []
+    for _ in range(60):
+        base = [rng.choice(["|", "alpha", "bee", "gamma", "de", "epsilon"]) + rng.choice(["", "s", "x"]) for _ in range(rng.randint(1, 14))]
+        other = list(base)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(other) + 1)
+            other[at : at + rng.randint(0, 1)] = rng.choice([[], ["zeta"], ["a", "b"]])
+        lines.append((" ".join(base), " ".join(other)))
+    rows = [(f"a{i}".encode(), f"b{i}".encode(), a, b) for i, (a, b) in enumerate(lines)]
+    met = spark.createDataFrame([(x, t) for a, b, s, u in rows for x, t in ((a, s), (b, u))], "gid binary, norm string")
+    pairs = spark.createDataFrame([(a, b) for a, b, _, _ in rows], "a binary, b binary")
+    got = {bytes(r["a"]) for r in line_dedup._verified(met, pairs, 0.8).collect()}
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1]
+
+    want = {a for a, _, s, u in rows if distance(s, u) <= int(max(len(s), len(u)) * (1 - 0.8))}
+    assert got == want and want

@@ -82,6 +82,34 @@ def hash_key(seed: int, *cols: Column) -> Column:
 
 KEY_BITS = 60
 
+#: Blocks of 256 bits in the filter of ids that are needed: 2 MB, whatever the corpus.
+FILTER_BLOCKS = 1 << 16
+
+
+def _bits(key: Column) -> tuple[Column, list[Column]]:
+    """Block of an id, and the two bits that it sets in each of the block's four longs."""
+    h = F.xxhash64(key, F.lit(7))
+    one = F.lit(1).cast("long")
+
+    def bit(at: int) -> Column:
+        return F.call_function("shiftleft", one, F.shiftrightunsigned(h, at).bitwiseAND(F.lit(63)).cast("int"))
+
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BLOCKS)).cast("int"), [bit(12 * w).bitwiseOR(bit(12 * w + 6)) for w in range(4)]
+
+
+def likely_in(rows: DataFrame, needed: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in ``needed``, and a few more: a blocked Bloom filter, of fixed size, goes to all tasks,
+    so that few other rows are shuffled by the exact join that follows."""
+    block, words = _bits(F.col(key))
+    names = [f"_w{i}" for i in range(4)]
+    bits = needed.select(block.alias("_block"), *[w.alias(n) for n, w in zip(names, words, strict=True)])
+    bits = F.broadcast(bits.groupBy("_block").agg(*[F.bit_or(n).alias(n) for n in names]))
+    hit = F.lit(True)
+    for n, w in zip(names, words, strict=True):
+        hit = hit & (F.col(n).bitwiseAND(w) == w)
+    return rows.withColumn("_block", block).join(bits, "_block").where(hit).select(*rows.columns)
+
+
 _shipped: set[str] = set()
 
 

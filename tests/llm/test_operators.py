@@ -346,3 +346,31 @@ def test_line_verification_equals_edit_distance(spark):
 
     want = {a for a, _, s, u in rows if distance(s, u) <= int(max(len(s), len(u)) * (1 - 0.8))}
     assert got == want and want
+
+
+def _exchanged(rng, words_of_line, lexicon, most):
+    """The line with words exchanged for others of the same length, while its edit similarity surely stays at 0.8."""
+    out, left = list(words_of_line), len(" ".join(words_of_line)) // 5 - 1
+    for n, at in enumerate(rng.sample(range(len(out)), len(out))):
+        if n < most and len(out[at]) <= left:
+            left -= len(out[at])
+            out[at] = rng.choice(lexicon[len(out[at])])
+    return out
+
+
+def test_perturbed_lines_of_all_lengths_are_found(spark):
+    rng = random.Random(5)
+    lexicon = {n: ["".join(rng.choice("abcdefghiklmnoprstuv") for _ in range(n)) for _ in range(4000)] for n in range(2, 8)}
+    rows, kinds = [], [(low, high, most) for low, high in ((5, 9), (10, 19), (20, 39), (40, 79), (80, 160)) for most in (1, 2, 99)]
+    for low, high, most in kinds:
+        made = 0
+        while made < 100:
+            base = [rng.choice(lexicon[rng.randint(2, 7)]) for _ in range(rng.randint(low, high))]
+            other = _exchanged(rng, base, lexicon, most)
+            if other != base:
+                rows += [(len(rows), f"{low} {most}", " ".join(base)), (len(rows) + 1, f"{low} {most}", " ".join(other))]
+                made += 1
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, kind string, text string")).collect()
+    gone = Counter(r["kind"] for r in got if r["n_removed"])
+    assert all(r["doc_id"] % 2 for r in got if r["n_removed"])
+    assert all(gone[f"{low} {most}"] >= 90 for low, _, most in kinds), dict(gone)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -374,3 +375,20 @@ def test_perturbed_lines_of_all_lengths_are_found(spark):
     gone = Counter(r["kind"] for r in got if r["n_removed"])
     assert all(r["doc_id"] % 2 for r in got if r["n_removed"])
     assert all(gone[f"{low} {most}"] >= 90 for low, _, most in kinds), dict(gone)
+
+
+def test_pipeline_near_copies_from_080(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    base = [f"w{i}" for i in range(104)]
+    # two words changed: 90 of 110 shingles shared, 0.818
+    other = [w + "x" if i in (30, 60) else w for i, w in enumerate(base)]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(base[::-1]))], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 3]
+
+
+def test_cross_pairs_of_sizes_at_the_threshold():
+    names = ("key", "p", "cid", "label", "sketch", "n", "side", "bands")
+    rows = [(7, 0, b"a", b"a", [0], 100, 2, [7]), (7, 0, b"b", b"b", [0], 82, 2, [7])]
+    batch = pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(names)})
+    assert [len(x) for x in near_dedup._cross_pairs(10, 80)([batch])] == [1]
+    assert not [x for x in near_dedup._cross_pairs(10, 85)([batch]) if len(x)]

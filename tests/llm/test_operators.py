@@ -392,3 +392,12 @@ def test_cross_pairs_of_sizes_at_the_threshold():
     batch = pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(names)})
     assert [len(x) for x in near_dedup._cross_pairs(10, 80)([batch])] == [1]
     assert not [x for x in near_dedup._cross_pairs(10, 85)([batch]) if len(x)]
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    rows = [(None, one, 1), (None, two, 2), (None, two, 2), (5, three, 3), (5, three, 3), (5, three, 4), (5, one + " more", 5), (6, three, 6), (None, "", 7), (7, None, 8)]
+    got = pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, n long"), "").collect()
+    assert Counter(r["text"] for r in got) == {one + " more": 1, two: 1, three: 1, "": 1, None: 1}
+    assert {r["doc_id"] for r in got if r["text"] == three} == {5}

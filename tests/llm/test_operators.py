@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -401,3 +402,11 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     got = pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, n long"), "").collect()
     assert Counter(r["text"] for r in got) == {one + " more": 1, two: 1, three: 1, "": 1, None: 1}
     assert {r["doc_id"] for r in got if r["text"] == three} == {5}
+
+
+def test_lines_at_exactly_the_similarity_are_linked(spark):
+    pairs = [("x" * n, "x" * (n - n // 5 - more) + "y" * (n // 5 + more)) for n in (5, 10, 50, 55) for more in (0, 1)]
+    met = spark.createDataFrame([(f"{side}{i}".encode(), p[k]) for i, p in enumerate(pairs) for k, side in enumerate("ab")], "gid binary, norm string")
+    ids = spark.createDataFrame([(f"a{i}".encode(), f"b{i}".encode()) for i in range(len(pairs))], "a binary, b binary")
+    got = {bytes(r["a"]).decode() for r in line_dedup._verified(met, ids, Fraction(4, 5)).collect()}
+    assert got == {f"a{i}" for i in range(0, len(pairs), 2)}

@@ -22,7 +22,7 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
-    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.md5(F.col("text")).alias("text_md5"))
+    return line_dedup.dedup_lines(docs, short_copies=True).select("doc_id", "n_lines", "n_removed", F.md5(F.col("text")).alias("text_md5"))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

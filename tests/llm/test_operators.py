@@ -410,3 +410,11 @@ def test_lines_at_exactly_the_similarity_are_linked(spark):
     ids = spark.createDataFrame([(f"a{i}".encode(), f"b{i}".encode()) for i in range(len(pairs))], "a binary, b binary")
     got = {bytes(r["a"]).decode() for r in line_dedup._verified(met, ids, Fraction(4, 5)).collect()}
     assert got == {f"a{i}" for i in range(0, len(pairs), 2)}
+
+
+def test_copies_of_short_and_unspaced_lines(spark):
+    kanji = "東京都新宿区西新宿二丁目八番一号庁舎前広場"
+    rows = [(1, f"Home | About\n\n{kanji}"), (2, f"home |  about\n\n{kanji[:-1]}所"), (3, "Home\nhome | abouts")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, short_copies=True).collect()}
+    assert got == {1: rows[0][1], 2: "", 3: rows[2][1]}

@@ -97,9 +97,12 @@ def _bits(key: Column) -> tuple[Column, list[Column]]:
     return F.pmod(F.xxhash64(key), F.lit(FILTER_BLOCKS)).cast("int"), [bit(12 * w).bitwiseOR(bit(12 * w + 6)) for w in range(4)]
 
 
-def likely_in(rows: DataFrame, needed: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is in ``needed``, and a few more: a blocked Bloom filter, of fixed size, goes to all tasks,
-    so that few other rows are shuffled by the exact join that follows."""
+def likely_in(rows: DataFrame, needed: DataFrame, key: str, member: bool = True) -> DataFrame:
+    """The rows whose key is in ``needed``, and a few more; or else (member=False) all the others.
+
+    A blocked Bloom filter, of fixed size, goes to all tasks, so that few other rows are shuffled by the exact join that
+    follows. A null key is as any other here.
+    """
     block, words = _bits(F.col(key))
     names = [f"_w{i}" for i in range(4)]
     bits = needed.select(block.alias("_block"), *[w.alias(n) for n, w in zip(names, words, strict=True)])
@@ -107,7 +110,8 @@ def likely_in(rows: DataFrame, needed: DataFrame, key: str) -> DataFrame:
     hit = F.lit(True)
     for n, w in zip(names, words, strict=True):
         hit = hit & (F.col(n).bitwiseAND(w) == w)
-    return rows.withColumn("_block", block).join(bits, "_block").where(hit).select(*rows.columns)
+    met = rows.withColumn("_block", block).join(bits, "_block", "inner" if member else "left")
+    return met.where(hit if member else F.coalesce(~hit, F.lit(True))).select(*rows.columns)
 
 
 _shipped: set[str] = set()

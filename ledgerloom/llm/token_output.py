@@ -21,16 +21,22 @@ from tokenizers import Tokenizer
 from .common import ship, stage
 
 END_ID = 1
-#: Distinct words whose ids a Python worker keeps; then it starts anew.
-CACHE = 400_000
+#: New words encoded as one text, and such texts encoded at a time.
+JOINED, TEXTS = 200, 100
 OPTIONS = {"orc.create.index": "true", "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(16 << 20), "compression": "snappy"}
 
 
+def _gather(table: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of a table that begin there and have these sizes, one after the other."""
+    sums = np.cumsum(size)
+    return table[np.repeat(begin - sums + size, size) + np.arange(sums[-1] if len(sums) else 0)]
+
+
 class WordEncoder:
-    """Encodes texts word by word with a tokenizer whose tokens never cross white space, keeping the ids of each word.
+    """Encodes texts word by word with a tokenizer whose tokens never cross white space: each distinct word of a batch once.
 
     Words of letters are encoded many at a time; a token that ends a word says where each one's ids end. A full stop or
-    comma behind a word of letters is a token of its own.
+    comma behind a word of ASCII letters is a token of its own. Nothing is kept from batch to batch.
     """
 
     def __init__(self, file: str):
@@ -43,54 +49,55 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith(self.suffix)
-        self._cache: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, dtype=np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self._cache) + len(words) > CACHE:
-            self._cache.clear()
-        plain = sorted(w for w in words if w.isalpha())
-        odd = sorted(w for w in words if not w.isalpha())
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            ids = self._ids([" ".join(some)])[0]
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some) and stops[-1] == len(ids):
-                data, prev = ids.tobytes(), 0
-                for w, stop in zip(some, (stops * 4).tolist(), strict=True):
-                    self._cache[w] = data[prev:stop]
-                    prev = stop
-            else:  # a word that falls into parts, such as a letter whose lower case is two characters
-                odd += some
-        for at in range(0, len(odd), 1000):
-            some = odd[at : at + 1000]
-            for w, ids in zip(some, self._ids(some), strict=True):
-                self._cache[w] = ids.tobytes()
-
-    def words(self, distinct: list[str]) -> list[bytes]:
-        """The ids of each word, as little-endian 32-bit integers."""
-        keys, tails = [], []
-        for w in distinct:
-            if w.isascii() and "<|" not in w:  # lower case is what the tokenizer makes of it
-                w = w.lower()
-            if w[-1:] in (".", ",") and w[:-1].isalpha():
-                keys.append(w[:-1])
-                tails.append(w[-1])
-            else:
-                keys.append(w)
-                tails.append("")
-        cache = self._cache
-        new = {k for k in keys if k not in cache}
-        new.update(t for t in (".", ",") if t not in cache)
-        if new:
-            before = len(cache)
-            self._learn(new)
-            if len(cache) < before + len(new):  # it started anew
-                self._learn({k for k in {*keys, ".", ","} if k not in cache})
-        end = {"": b"", ".": cache["."], ",": cache[","]}
-        return [cache[k] + end[t] for k, t in zip(keys, tails, strict=True)]
+    def _learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of each one's)."""
+        sizes = np.zeros(len(words), dtype=np.int64)
+        pieces: list[np.ndarray] = []
+        plain = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False)
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        listed, n = words.take(pa.array(order)).to_pylist(), int(plain.sum())
+        for at in range(0, n, JOINED * TEXTS):
+            groups = [listed[k : min(k + JOINED, n)] for k in range(at, min(at + JOINED * TEXTS, n), JOINED)]
+            for g, (some, ids) in enumerate(zip(groups, self._ids([" ".join(x) for x in groups]), strict=True)):
+                stops = np.flatnonzero(self.ends[ids]) + 1
+                if len(stops) != len(some) or stops[-1] != len(ids):  # some word falls into parts, such as one whose lower case is two characters
+                    own = self._ids(some)
+                    ids, stops = np.concatenate(own), np.cumsum([len(x) for x in own])
+                pieces.append(ids)
+                sizes[order[at + g * JOINED : at + g * JOINED + len(some)]] = np.diff(stops, prepend=0)
+        for at in range(n, len(listed), 1000):
+            own = self._ids(listed[at : at + 1000])
+            pieces += own
+            sizes[order[at : at + 1000]] = [len(x) for x in own]
+        flat = np.concatenate(pieces) if pieces else np.zeros(0, dtype=np.int32)
+        # back in the order of the words
+        there = np.concatenate(([0], np.cumsum(sizes[order])))[:-1]
+        begin = np.empty(len(words), dtype=np.int64)
+        begin[order] = there
+        return _gather(flat, begin, sizes), sizes
+
+    def words(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of each one's)."""
+        marked = pc.match_substring_regex(distinct, "^[A-Za-z]+[.,]$")
+        base = pc.if_else(marked, pc.utf8_slice_codeunits(distinct, 0, -1), distinct)
+        # lower case is what the tokenizer makes of ASCII words
+        base = pc.if_else(pc.match_substring_regex(base, "^[A-Za-z]+$"), pc.ascii_lower(base), base).dictionary_encode()
+        at, marked = base.indices.to_numpy(zero_copy_only=False), marked.to_numpy(zero_copy_only=False)
+        flat, size = self._learn(base.dictionary)
+        own = size[at] + marked
+        out = np.zeros(int(own.sum()), dtype=np.int32)
+        last = np.cumsum(own)[marked] - 1
+        full_stop, comma = (self._ids([m])[0] for m in (".", ","))
+        stop = pc.ends_with(distinct, ".").to_numpy(zero_copy_only=False)[marked]
+        out[last] = np.where(stop, full_stop[0], comma[0])
+        rest = np.ones(len(out), dtype=bool)
+        rest[last] = False
+        out[rest] = _gather(flat, (np.cumsum(size) - size)[at], size[at])
+        return out, own
 
     def encode(self, texts: pa.Array, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For runs of texts: (first text, ids, offsets of each text's ids and the end), each text with the end id."""
@@ -99,10 +106,8 @@ class WordEncoder:
             lists = lists.combine_chunks()
         offs = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values.dictionary_encode()
-        ids = self.words(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        begin = np.concatenate(([0], np.cumsum(size)))
-        table = np.frombuffer(b"".join(ids), dtype=np.int32)
+        table, size = self.words(coded.dictionary)
+        begin = np.cumsum(size) - size
         words = coded.indices.to_numpy(zero_copy_only=False)
         at = 0
         while at < len(texts):
@@ -111,7 +116,7 @@ class WordEncoder:
             own = words[offs[at] : offs[stop]]
             n = size[own]
             sums = np.concatenate(([0], np.cumsum(n)))
-            flat = table[np.repeat(begin[own] - sums[:-1], n) + np.arange(sums[-1])]
+            flat = _gather(table, begin[own], n)
             to = sums[offs[at : stop + 1] - offs[at]]
             ends = to + np.arange(len(to))  # with one end id a text
             out = np.full(ends[-1], end_id, dtype=np.int32)

@@ -27,6 +27,10 @@ MIN_WORDS = 20
 WINDOW = 8
 MAX_REPEAT_PERCENT = 30
 ROUNDS = 30
+#: Documents by which the starting votes of each rule weigh in its estimates.
+PSEUDO = 10
+#: A text's share of distinct words falls with its length; 15 % of so many words are enough for texts of any length.
+VARIED = 5000
 SYMBOLS = "#*$%&|<>"
 
 RULES = ("length", "word_length", "symbols", "letters", "mark_runs", "dup_lines", "repeats", "stopwords", "distinct")
@@ -108,14 +112,15 @@ def votes() -> dict[str, Column]:
         "dup_lines": rule(2 * F.col("n_dup_lines") > F.col("n_lines"), 5 * F.col("n_dup_lines") <= F.col("n_lines")),
         "repeats": rule(100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n, 100 * F.col("n_repeat_words") <= 15 * n),
         "stopwords": rule((F.col("n_stopwords") < 2) & (n >= 2 * MIN_WORDS), F.col("n_stopwords") >= 3),
-        "distinct": rule((100 * F.col("n_distinct_words") < 15 * n) & (n < 5000), 100 * F.col("n_distinct_words") >= 35 * n),
+        "distinct": rule(100 * F.col("n_distinct_words") < 15 * F.least(n, F.lit(VARIED)), 100 * F.col("n_distinct_words") >= 35 * n),
     }
 
 
 def fit_patterns(counts: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
     """Vote pattern -> posterior probability of good, by expectation-maximisation.
 
-    Each rule has a probability of each vote given good and given bad, with one pseudo-document per vote. It starts
+    Each rule has a probability of each vote given good and given bad, with PSEUDO documents of the
+    starting votes added. It starts
     from rules that are right four times in five and from a share of 0.8 good documents, which also fixes which class
     is which. Patterns are summed in sorted order, so reruns agree.
     """
@@ -136,14 +141,14 @@ def fit_patterns(counts: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS
             post[pattern] = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
         total = sum(n for _, n in counts)
         good = math.fsum(n * post[p] for p, n in counts)
-        prior = min(0.99, max(0.5, (good + 4) / (total + 5)))
+        prior = (good + 4) / (total + 5)
         for r in range(rules):
             for v in kinds:
                 has = [(n * post[p], n) for p, n in counts if p[r] == v]
                 g = math.fsum(x for x, _ in has)
                 b = math.fsum(n - x for x, n in has)
-                given[r][1][v] = (g + 10 * start[1][v]) / (good + 10)
-                given[r][0][v] = (b + 10 * start[0][v]) / (total - good + 10)
+                given[r][1][v] = (g + PSEUDO * start[1][v]) / (good + PSEUDO)
+                given[r][0][v] = (b + PSEUDO * start[0][v]) / (total - good + PSEUDO)
     return post
 
 

@@ -123,7 +123,7 @@ WITH parts AS (
          WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
          WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
   FROM parts
-), listed AS (SELECT DISTINCT canonical FROM canon WHERE starts_with(host, 'spam-farm.') AND canonical IS NOT NULL),
+), listed AS (SELECT DISTINCT canonical FROM canon WHERE regexp_matches(host, '(^|\.)spam-farm\.') AND canonical IS NOT NULL),
 judged AS (SELECT c.*, l.canonical IS NOT NULL AS is_listed FROM canon c LEFT JOIN listed l ON c.canonical = l.canonical)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN is_listed THEN 'block' ELSE 'allow' END AS verdict, is_listed

@@ -88,6 +88,6 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
 
 
 def spam_list(pages: DataFrame, label: str = "spam-farm") -> DataFrame:
-    """The listed canonical URLs of the registered query: those of pages on hosts that start with the label."""
+    """The listed canonical URLs of the registered query: those of pages on hosts with this label before their domain."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    return pages.where(host.startswith(label + ".")).select(canonical(host, path).alias("url"))
+    return pages.where(host.rlike(rf"(^|\.){label}\.")).select(canonical(host, path).alias("url"))

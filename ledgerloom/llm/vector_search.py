@@ -43,7 +43,7 @@ def _quantise(scale: int):
                 if not np.isfinite(x).all():
                     continue
                 if len(x) and np.abs(x).max() * np.abs(x).max() * len(x) >= 2**53:
-                    raise OverflowError(f"vector {vec_id}: scores are not exact beyond 2**53")
+                    continue  # its scores would not be exact
                 ids.append(vec_id)
                 out.append(x.astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "v"])
@@ -171,7 +171,7 @@ def top_k(vectors: DataFrame, every: int = EVERY, top: int = TOP, scale: int = S
 
     Components are floor(scale * x). Queries are rows whose vec_id is divisible by ``every``; a candidate is any row
     with another vec_id. Ties go to the smaller vec_id. Vectors that are null, or hold a null or a component that isn't
-    finite, and rows with a null vec_id take no part; vectors only meet those of the same length. Repeated vec_ids
+    finite, or so large that scores would pass 2**53, and rows with a null vec_id take no part; vectors only meet those of the same length. Repeated vec_ids
     among candidates are results of their own; a repeated query vec_id is asked once for each row's distinct vector.
     An empty table gives no rows.
     """

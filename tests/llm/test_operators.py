@@ -297,6 +297,32 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(pages.limit(0), listed).count() == 0
 
 
+def test_spam_list_decides_verdicts(spark):
+    urls = ["http://www.spam-farm.example.com/it/1.html", "http://spam-farm.example.com/it/1", "http://a.spam-farm.net/q/", "http://example.com/it/1", "http://no-spam-farm.example.com/it/1", "http://www.spam-farm.example.org/x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"], r["is_listed"]) for r in url_filter.judge_urls(pages, url_filter.spam_list(pages)).collect()}
+    assert got == {0: (None, "block", True), 1: (None, "block", True), 2: (None, "block", True), 3: (None, "allow", False), 4: (None, "allow", False), 5: ("org/", "allow", True)}
+
+
+def test_votes_of_a_mostly_bad_corpus():
+    bad, good = (-1,) * 6, (1,) * 6
+    post = quality_rules.fit_patterns([(bad, 900), (good, 100), ((-1, -1, -1, -1, 1, 1), 50)])
+    assert post[bad] < 0.01 < 0.99 < post[good]
+
+
+def test_large_vectors_take_no_part(spark):
+    rows = [(0, [1.0, 0.5]), (1, [1e300, 0.0]), (2, [0.5, 0.5])]
+    got = vector_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(0, 2, 64 * 32 + 32 * 32)]
+
+
+def test_words_that_lower_to_two_characters_are_encoded_whole():
+    encoder = token_output.WordEncoder(BPE)
+    texts = ["\u0130. x\u0130, Abc. ABC, abc abc.. <|endoftext|> 12. \u00e9t\u00e9. na\u00efve,", "", None, "A " * 500 + "b."]
+    got = [ids[a:b].tolist() for _, ids, ends in encoder.encode(pa.array(texts), 1) for a, b in zip(ends[:-1], ends[1:])]
+    assert got == [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+
+
 def test_pipeline(spark, rows, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in pipeline.STAGES] == ["quality_rules", "line_dedup", "minhash_near_dedup", "source_mixing", "length_packing"]

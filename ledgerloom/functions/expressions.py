@@ -122,7 +122,7 @@ def attach_parents(df: DataFrame, refs, parents: dict[str, tuple[DataFrame, str]
         for c in columns:
             if c.lower() not in map(str.lower, table.columns):
                 raise ExpressionError(f"the parent of {fk} has no column {c}")
-        side = table.select(F.col(key).alias(f"__{fk}"), *[F.col(c).alias(parent_column(fk, c)) for c in dict.fromkeys(columns)])
+        side = table.select(F.col(key).alias(f"__{fk}"), *[F.col(c).alias(parent_column(fk, c)) for c in dict.fromkeys(columns)]).dropDuplicates([f"__{fk}"])  # a row stays one where a parent key is repeated
         df = df.join(side, F.col(fk) == F.col(f"__{fk}"), "left").drop(f"__{fk}")
     return df
 
@@ -287,7 +287,12 @@ class Compiler:
         x = self._number(args[0])
         if name == "abs":
             return _Node(F.abs(x), void, "number")
-        digits = n.args[1].value if len(n.args) > 1 and isinstance(n.args[1], ast.Constant) else 0
+        try:
+            digits = ast.literal_eval(n.args[1]) if len(n.args) > 1 else 0
+        except ValueError as e:
+            raise ExpressionError("the digits of round are a whole number") from e
+        if not isinstance(digits, int):
+            raise ExpressionError("the digits of round are a whole number")
         return _Node(F.bround(x, digits), void, "number")
 
 

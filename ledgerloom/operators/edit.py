@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import Compiler, attach_parents, compile_expression
-from ..plans.schema import Schema, Table
+from ..plans.schema import ForeignKey, Schema, Table
 from .generate import Recipe, conform, suffix_unique, uniform, value
 from .validate import Report, validate
 
@@ -103,38 +103,37 @@ def add_rows(df: DataFrame, t: Table, count: int, plan: dict[str, Recipe], seed:
 def delete_rows(schema: Schema, tables: dict[str, DataFrame], table: str, hits: DataFrame, cascade: bool = True) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """(tables after the delete, removed rows by table). Children with a nullable key lose it, others go with their
     parent, to a fixpoint where tables refer to each other; without cascade such children are an error."""
+    def matched(child: Table, fk: ForeignKey, gone: DataFrame, how: str) -> DataFrame:
+        on = F.lit(True)
+        for i, c in enumerate(fk.columns):
+            on &= F.col(c) == F.col(f"__p{i}")
+        return out[child.name].join(gone, on, how)
+
     out, removed = dict(tables), {table: hits}
-    waiting = [table]
+    key = list(schema.table(table).primary_key) or tables[table].columns
+    out[table] = out[table].join(hits.select(*key).distinct(), key, "left_anti").select(*tables[table].columns)
+    waiting = [(table, hits)]
     rounds = 0
     while waiting:
-        name, rounds = waiting.pop(0), rounds + 1
+        (name, rows), rounds = waiting.pop(0), rounds + 1
         if rounds > 100:
             raise EditError("the cascade doesn't end")
         for child, fk in schema.references_to(name):
-            gone = removed[name].select(*[F.col(p).alias(f"__p{i}") for i, p in enumerate(fk.parent_columns)]).distinct()
-            on = None
-            for i, c in enumerate(fk.columns):
-                one = F.col(c) == F.col(f"__p{i}")
-                on = one if on is None else on & one
+            gone = rows.select(*[F.col(p).alias(f"__p{i}") for i, p in enumerate(fk.parent_columns)]).distinct()
+            columns = tables[child.name].columns
             if child.nullable_key(fk):
-                marked = out[child.name].join(gone.withColumn("__gone", F.lit(True)), on, "left")
-                for c in fk.columns:
-                    marked = marked.withColumn(c, F.when(F.col("__gone").isNull(), F.col(c)))
-                out[child.name] = marked.select(*tables[child.name].columns)
+                marked = matched(child, fk, gone.withColumn("__gone", F.lit(True)), "left")
+                out[child.name] = marked.withColumns({c: F.when(F.col("__gone").isNull(), F.col(c)) for c in fk.columns}).select(*columns)
                 continue
-            lost = tables[child.name].join(gone, on, "left_semi")
-            key = list(child.primary_key) or tables[child.name].columns
-            if child.name in removed:
-                lost = lost.join(removed[child.name].select(*key), key, "left_anti")
+            # rows go by their foreign key: their own key may be repeated
+            lost = matched(child, fk, gone, "left_semi").persist()  # read by the rounds that follow
             if lost.isEmpty():
                 continue
             if not cascade:
                 raise EditError(f"rows of {child.name} refer to rows that go")
+            out[child.name] = matched(child, fk, gone, "left_anti").select(*columns)
             removed[child.name] = lost if child.name not in removed else removed[child.name].unionByName(lost)
-            waiting.append(child.name)
-    for name, rows in removed.items():
-        key = list(schema.table(name).primary_key) or tables[name].columns
-        out[name] = out[name].join(rows.select(*key).distinct(), key, "left_anti").select(*tables[name].columns)
+            waiting.append((child.name, lost))
     return out, removed
 
 

@@ -126,7 +126,7 @@ def dangling(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame:
     cols = [_actual(child, c) for c in fk.columns]
     for c in cols:
         child = child.where(F.col(c).isNotNull())
-    keys = parent.select(*[F.col(_actual(parent, p)).alias(f"_p{i}") for i, p in enumerate(fk.parent_columns)]).distinct()
+    keys = parent.select(*[F.col(_actual(parent, p)).alias(f"_p{i}") for i, p in enumerate(fk.parent_columns)])
     on = None
     for i, c in enumerate(cols):
         one = F.col(c) == F.col(f"_p{i}")

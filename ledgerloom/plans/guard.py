@@ -31,7 +31,8 @@ DENIED_FUNCTIONS = {
     "pg_read_file", "lo_import", "lo_export", "dblink", "setval", "pg_terminate_backend", "pg_cancel_backend", "read_files",
 }
 ROOTS = {"Project", "Sort", "GlobalLimit", "LocalLimit", "Distinct", "Union", "UnresolvedWith", "Aggregate", "Filter", "Intersect", "Except", "UnresolvedHaving", "Offset", "WithWindowDefinition", "UnresolvedHint", "SubqueryAlias"}
-DENIED_NODES = {"ScriptTransformation", "InsertIntoStatement", "CreateTable", "CreateTableAsSelect", "DropTable", "DeleteFromTable", "UpdateTable", "MergeIntoTable", "SetCommand", "ExplainCommand", "ShowTables", "CacheTable"}
+#: What a SELECT may be parsed into; any other node, IDENTIFIER() among them, is refused.
+NODES = ROOTS | {"UnresolvedRelation", "UnresolvedTableValuedFunction", "UnresolvedTVFAliases", "UnresolvedSubqueryColumnAliases", "UnresolvedInlineTable", "LocalRelation", "OneRowRelation", "Join", "AsOfJoin", "LateralJoin", "Generate", "Window", "Sample", "Pivot", "Unpivot"}
 MOST_ROWS, TIMEOUT_MS = 500, 15_000
 
 
@@ -58,33 +59,42 @@ def _seq(x) -> list:
     return [x.apply(i) for i in range(x.size())]
 
 
-def _walk(plan, seen: dict) -> None:
+def _walk(plan, seen: dict, scope: frozenset[str]) -> None:
+    """Note nodes, functions and relations; scope has the names of the WITH clauses around."""
     name = plan.nodeName()
     seen["nodes"].add(name)
     if name == "UnresolvedRelation":
-        seen["relations"].append(tuple(_seq(plan.multipartIdentifier())))
+        parts = tuple(_seq(plan.multipartIdentifier()))
+        seen["relations"].append((parts, len(parts) == 1 and parts[0].lower() in scope))
     elif name == "UnresolvedTableValuedFunction":
         seen["functions"].add(_seq(plan.name())[-1].lower())
     elif name == "UnresolvedWith":
         for pair in _seq(plan.cteRelations()):
-            seen["ctes"].add(pair._1().lower())
+            own = pair._1().lower()
+            _walk(pair._2(), seen, scope | {own} if plan.allowRecursion() else scope)
+            scope |= {own}
+        for child in _seq(plan.children()):
+            _walk(child, seen, scope)
+        return
     for e in _seq(plan.expressions()):
-        _walk_expression(e, seen)
+        _walk_expression(e, seen, scope)
     for child in (*_seq(plan.children()), *_seq(plan.innerChildren())):
         if hasattr(child, "nodeName") and child.getClass().getName().startswith("org.apache.spark.sql.catalyst"):
-            _walk(child, seen)
+            _walk(child, seen, scope)
 
 
-def _walk_expression(e, seen: dict) -> None:
+def _walk_expression(e, seen: dict, scope: frozenset[str]) -> None:
     kind = e.getClass().getSimpleName()
     if kind in ("UnresolvedFunction",):
         seen["functions"].add(_seq(e.nameParts())[-1].lower())
     elif kind == "UnresolvedGenerator":
         seen["functions"].add(e.name().funcName().lower())
+    elif "UnresolvedIdentifier" in kind:
+        seen["nodes"].add("IDENTIFIER")
     if kind in ("ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery", "UnresolvedTableArgPlanId", "FunctionTableSubqueryArgumentExpression") and hasattr(e, "plan") and kind != "InSubquery":
-        _walk(e.plan(), seen)
+        _walk(e.plan(), seen, scope)
     for child in _seq(e.children()):
-        _walk_expression(child, seen)
+        _walk_expression(child, seen, scope)
 
 
 def guard(spark: SparkSession, sql: str, *, limit: int = MOST_ROWS, tables: set[str] | None = None) -> GuardedSql:
@@ -96,18 +106,18 @@ def guard(spark: SparkSession, sql: str, *, limit: int = MOST_ROWS, tables: set[
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except (ParseException, Py4JJavaError) as e:
         raise SqlRejected(f"exactly one SELECT is expected: {str(e).strip().splitlines()[0]}") from e
-    seen: dict = {"nodes": set(), "functions": set(), "relations": [], "ctes": set()}
+    seen: dict = {"nodes": set(), "functions": set(), "relations": []}
     if plan.nodeName() not in ROOTS:
         raise SqlRejected(f"only SELECT and set operations are allowed, not {plan.nodeName()}")
-    _walk(plan, seen)
-    if bad := seen["nodes"] & DENIED_NODES:
+    _walk(plan, seen, frozenset())
+    if bad := seen["nodes"] - NODES:
         raise SqlRejected(f"not allowed: {', '.join(sorted(bad))}")
     if bad := seen["functions"] & DENIED_FUNCTIONS:
         raise SqlRejected(f"function not allowed: {', '.join(sorted(bad))}")
-    if bad := [r for r in seen["relations"] if len(r) > 1]:
+    if bad := [r for r, _ in seen["relations"] if len(r) > 1]:
         raise SqlRejected(f"only plain table names are allowed, not {'.'.join(bad[0])}")
-    names = sorted({r[0].lower() for r in seen["relations"]})
-    own = [n for n in names if n not in seen["ctes"]]
+    names = sorted({r[0].lower() for r, _ in seen["relations"]})
+    own = sorted({r[0].lower() for r, with_clause in seen["relations"] if not with_clause})
     if tables is not None and (bad := [n for n in own if n not in {t.lower() for t in tables}]):
         raise SqlRejected(f"unknown table {bad[0]}")
     return GuardedSql(text, tuple(names), limit)

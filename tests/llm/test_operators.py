@@ -316,6 +316,17 @@ def test_large_vectors_take_no_part(spark):
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(0, 2, 64 * 32 + 32 * 32)]
 
 
+def test_repeated_vectors_and_ids(spark):
+    rows = [(i, [0.5, 0.25]) for i in range(1, 200)] + [(7, [0.5, 0.25])] * 3 + [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (500, [0.0, 0.0])]
+    ints = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    want = []
+    for q, v in {(i, tuple(v)) for i, v in ints if i % 20 == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), c) for c, w in ints if c != q)[:20]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(scored)]
+    got = vector_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_words_that_lower_to_two_characters_are_encoded_whole():
     encoder = token_output.WordEncoder(BPE)
     texts = ["\u0130. x\u0130, Abc. ABC, abc abc.. <|endoftext|> 12. \u00e9t\u00e9. na\u00efve,", "", None, "A " * 500 + "b."]

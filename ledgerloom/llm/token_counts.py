@@ -160,55 +160,48 @@ class PrefixCounts:
         return max(0, self.starts[k] + fit - 1)
 
 
-def _count(model: str):
+def _prefixes(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(model)
         for batch in batches:
             texts = batch.column("text")
-            _, sums, first = own.batch(texts)
-            sums = np.concatenate(([0], sums))
-            total = sums[first[1:]] - sums[first[:-1]]
-            size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array(total, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            at, sums, first = own.batch(texts)
+            n = np.diff(first)
+            # segments end where the next one starts, the last of a text where the text does; the blank before it isn't its own
+            blank = np.cumsum(n > 0) - (n > 0)
+            size = np.cumsum(np.concatenate(([0], pc.fill_null(pc.binary_length(pc.replace_substring(texts, "▁", " ")), 0).to_numpy(zero_copy_only=False))))
+            starts = size[:-1] + blank
+            row = np.repeat(np.arange(len(n)), n)
+            ends = np.append(at[1:], size[-1] + np.count_nonzero(n)) if len(at) else at
+            base = np.concatenate(([0], sums))[first[:-1]]
+            offsets = pa.array(first.astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (ends - starts[row] - 1, sums - base[row])]
+            n_bytes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n_bytes, *lists], names=["doc_id", "n_bytes", "end_byte", "n_tokens"])
 
     return run
 
 
-def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for each row of a table with doc_id and text.
+def prefix_table(docs: DataFrame, model: str) -> DataFrame:
+    """doc_id, n_bytes, end_byte, n_tokens: the count at the end of every segment of each text, as two parallel arrays.
 
-    Counts are those of the library without added tokens. Null and empty texts have 0 bytes and tokens; rows are
-    counted one by one, so null or repeated ids need no care. An empty table gives no rows.
+    A budget is then answered in SQL: the last end_byte whose n_tokens fits. Bytes of segments are those of the text
+    with each U+2581 taken as the blank it encodes as; n_bytes is the text's own size. Null and empty texts have empty
+    arrays.
     """
     ship(docs.sparkSession)
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_count(model), "doc_id long, n_bytes long, n_tokens long")
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
-
-
-def _prefixes(model: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(model)
-        for batch in batches:
-            at, sums, first = own.batch(batch.column("text"))
-            ends = np.concatenate((at[1:], at[-1:] * 0)) if len(at) else at
-            shown = pc.if_else(pc.equal(pc.fill_null(batch.column("text"), ""), ""), "", pc.binary_join_element_wise(pa.scalar(" "), pc.replace_substring(pc.fill_null(batch.column("text"), ""), "▁", " "), ""))
-            _, offs = buffers(shown)
-            row = np.repeat(np.arange(len(batch)), np.diff(first))
-            if len(at):
-                ends[-1] = offs[-1]
-            base = np.concatenate(([0], sums))[first[:-1]]
-            offsets = pa.array(first.astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (ends - offs[row] - 1, sums - base[row])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "end_byte", "n_tokens"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_prefixes(model), "doc_id long, n_bytes long, end_byte array<int>, n_tokens array<int>")
 
-    return run
 
+def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit, fit_bytes for each row of a table with doc_id and text.
 
-def prefix_table(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, end_byte, n_tokens: the count at the end of every segment of each text, as two parallel arrays.
-
-    A budget is then answered in SQL: the last end_byte whose n_tokens fits. Bytes are of the text with each U+2581
-    taken as the blank it encodes as.
+    All are look-ups in the prefix table: n_tokens is the last prefix's count, fit_bytes the end of the last segment up
+    to which the count is within the limit. Counts are those of the library without added tokens. Null and empty texts
+    have 0 bytes and tokens; rows are counted one by one, so null or repeated ids need no care. An empty table gives no
+    rows.
     """
-    ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_prefixes(model), "doc_id long, end_byte array<long>, n_tokens array<long>")
+    total = F.coalesce(F.try_element_at("n_tokens", F.lit(-1)), F.lit(0)).cast("long")
+    within = F.when(total <= limit, F.size("n_tokens")).otherwise(F.size(F.filter("n_tokens", lambda n: n <= limit)))
+    fit = F.coalesce(F.get("end_byte", within - 1), F.lit(0)).cast("long")
+    return prefix_table(docs, model).select("doc_id", "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"), fit.alias("fit_bytes"))

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import Compiler, attach_parents, compile_expression
-from ..plans.schema import ForeignKey, Schema, Table
-from .generate import Recipe, conform, suffix_unique, uniform, value
+from ..plans.schema import ForeignKey, Schema, Table, table_order
+from .consistency import child_aggregate, recompute_derived
+from .generate import Recipe, column_order, conform, suffix_unique, uniform, value
 from .validate import Report, validate
 
 
@@ -137,8 +138,46 @@ def delete_rows(schema: Schema, tables: dict[str, DataFrame], table: str, hits:
     return out, removed
 
 
-def apply(schema: Schema, tables: dict[str, DataFrame], table: str, ops: list[Op], plan: dict[str, Recipe] | None = None, seed: int = 0) -> tuple[dict[str, DataFrame], Report]:
-    """New tables and their validation; the plan's derived columns aren't touched here (see consistency)."""
+def refresh(schema: Schema, tables: dict[str, DataFrame], plans: dict[str, dict[str, Recipe]]) -> dict[str, DataFrame]:
+    """tables with the derived columns and the aggregates of children of their plans computed again.
+
+    Derived columns come first, parents before children, then aggregates, children before parents, then derived columns
+    that need an aggregate of their row. Expressions that draw random numbers keep their values.
+    """
+    out = dict(tables)
+    names = [n for n in table_order(schema).tables if n in plans]
+
+    def derived(name: str, of_aggregates: bool) -> None:
+        t, own = schema.table(name), plans[name]
+        made = {n for n, r in own.items() if r.kind == "aggregate"}
+        todo: dict[str, str] = {}
+        for c in column_order(t, {n: own.get(n, Recipe("constant", {"value": None})) for n in t.names}):
+            if c.name in own and own[c.name].kind == "derived":
+                compiled = compile_expression(own[c.name].args["expression"])
+                needs = {t.column(x).name for x in compiled.dependencies if t.has(x)} & (made | (set(todo) if of_aggregates else set()))
+                if not compiled.uses_random and (needs or not of_aggregates):
+                    todo[c.name] = compiled.source
+        if todo:
+            out[name] = recompute_derived(out[name], todo, _parents(schema, out, t))
+
+    for name in names:
+        derived(name, False)
+    for name in reversed(names):
+        t = schema.table(name)
+        for c in t.columns:
+            r = plans[name].get(c.name)
+            if r is not None and r.kind == "aggregate":
+                a = r.args
+                wide = child_aggregate(out[name], t.primary_key[0], out[a["child"]], a["fk"], a["column"], a["agg"], a.get("default", 0), "__agg")
+                out[name] = wide.withColumn(c.name, conform(F.col("__agg"), c)).select(*out[name].columns)
+    for name in names:
+        derived(name, True)
+    return out
+
+
+def apply(schema: Schema, tables: dict[str, DataFrame], table: str, ops: list[Op], plan: dict[str, Recipe] | None = None, seed: int = 0, plans: dict[str, dict[str, Recipe]] | None = None) -> tuple[dict[str, DataFrame], Report]:
+    """New tables and their validation. With the plans of the tables, their derived columns and aggregates follow the
+    edit (refresh), new rows and those of other tables included; without, they keep their values."""
     check_ops(schema, table, ops)
     t = schema.table(table)
     out = dict(tables)
@@ -147,7 +186,7 @@ def apply(schema: Schema, tables: dict[str, DataFrame], table: str, ops: list[Op
         df = out[t.name]
         row = F.col(t.primary_key[0]) if t.primary_key else F.xxhash64(*df.columns)
         if o.op == "add_rows":
-            out[t.name] = add_rows(df, t, a["count"], {**(plan or {}), **a.get("recipes", {})}, own, out)
+            out[t.name] = add_rows(df, t, a["count"], {**((plans or {}).get(t.name, {})), **(plan or {}), **a.get("recipes", {})}, own, out)
             continue
         hit = with_condition(df, a.get("where"), schema, out, t)
         if o.op == "delete_rows":
@@ -164,4 +203,6 @@ def apply(schema: Schema, tables: dict[str, DataFrame], table: str, ops: list[Op
         if any(u == (c.name,) for u in t.keys):
             done = suffix_unique(done, c.name, t.primary_key[0], c.max_length)
         out[t.name] = done
+    if plans:
+        out = refresh(schema, out, plans)
     return out, validate(schema, out)

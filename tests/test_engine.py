@@ -82,6 +82,27 @@ def test_self_reference_cascades(spark):
     assert sorted(map(tuple, out["e"].collect())) == [(2, None), (3, 2)]
 
 
+def test_edits_refresh_derived_and_totals(spark):
+    s = parse_ddl("CREATE TABLE a (id INT PRIMARY KEY, total DECIMAL(9, 2), twice DECIMAL(9, 2)); CREATE TABLE b (id INT PRIMARY KEY, a_id INT NOT NULL REFERENCES a, n INT, price DECIMAL(9, 2))")
+    tables = {"a": spark.createDataFrame([(1, 0, 0), (2, 9, 9)], "id int, total int, twice int"), "b": spark.createDataFrame([(1, 1, 2, 0), (2, 1, 3, 0), (3, 2, 1, 7)], "id int, a_id int, n int, price int")}
+    plans = {"a": {"total": generate.Recipe("aggregate", {"child": "b", "fk": "a_id", "column": "price", "agg": "sum"}), "twice": generate.Recipe("derived", {"expression": "total * 2"})}, "b": {"price": generate.Recipe("derived", {"expression": "n * 10"})}}
+    out, _ = edit.apply(s, tables, "b", [edit.Op("set_values", {"column": "n", "value": 5, "where": "id == 2"})], plans=plans)
+    assert sorted((r["id"], float(r["total"]), float(r["twice"])) for r in out["a"].collect()) == [(1, 70, 140), (2, 10, 20)]
+    out, _ = edit.apply(s, tables, "b", [edit.Op("delete_rows", {"where": "a_id == 1"}), edit.Op("add_rows", {"count": 2, "recipes": {"n": generate.Recipe("constant", {"value": 4})}})], plans=plans, seed=3)
+    assert sum(float(r["total"]) for r in out["a"].collect()) == 10 + 2 * 40
+
+
+def test_ranks_by_ranges_and_own_keys(spark):
+    keys = spark.range(0, 500).select((F.col("id") * 37 % 1009).alias("__k0"))
+    assert sorted(map(tuple, generate.ranked(keys, ["__k0"], 500, 60).select("__k0", "__rank").collect())) == [(k, i) for i, k in enumerate(sorted(i * 37 % 1009 for i in range(500)))]
+    rows = spark.range(1, 8).withColumnRenamed("id", "k")
+    got = generate.sample_parent(rows, rows, ["boss"], ["k"], (F.col("k") - 0.5) / 7, own_key="k").collect()  # each draws itself
+    assert sorted((r["k"], r["boss"]) for r in got) == [(k, k % 7 + 1) for k in range(1, 8)]
+    one = rows.where("k = 1")
+    assert generate.sample_parent(one, one, ["boss"], ["k"], F.lit(0.3), own_key="k").first()["boss"] is None
+    assert spark.range(1).select(generate.slug(F.lit("Čapek Ștefan-Łódź Ế"))).first()[0] == "capekstefanodze"
+
+
 ALLOWED = ["SELECT * FROM guests", "WITH a AS (SELECT 1 AS x FROM guests) SELECT * FROM a", "SELECT 1 AS x UNION SELECT 2", "SELECT guest_id FROM guests ORDER BY 1 LIMIT 3;"]
 REJECTED = ["", "DROP TABLE guests", "INSERT INTO guests SELECT 1", "SELECT 1; SELECT 2", "EXPLAIN SELECT 1", "SHOW TABLES", "SET a = 1", "SELECT reflect('java.lang.System', 'currentTimeMillis')", "SELECT * FROM parquet.`/tmp/x`", "SELECT TRANSFORM (guest_id) USING 'cat' FROM guests", "WITH a AS (SELECT java_method('java.lang.Math', 'abs', 1)) SELECT * FROM a", "SELECT (SELECT try_reflect('java.lang.Math', 'abs', 1))", "SELECT * FROM other", "SELECT 1 WHERE EXISTS (SELECT 1 FROM parquet.`/x`)"]
 

@@ -317,6 +317,14 @@ def edit_delete_cascade_counts(spark, d):
     return out
 
 
+@query("SELECT o_orderkey, CAST(coalesce((SELECT sum(CASE WHEN l_quantity > 40 THEN 1 ELSE l_quantity END) FROM lineitem WHERE l_orderkey = o_orderkey), 0) AS DOUBLE) AS o_totalprice FROM orders")
+def edit_apply_refreshes_totals(spark, d):
+    """An edit of line items; the orders' totals follow it."""
+    plans = {"orders": {"o_totalprice": generate.Recipe("aggregate", {"child": "lineitem", "fk": "l_orderkey", "column": "l_quantity", "agg": "sum"})}}
+    after, _ = edit.apply(SCHEMA, load(spark, d), "lineitem", [edit.Op("set_values", {"column": "l_quantity", "value": 1, "where": "l_quantity > 40"})], plans=plans)
+    return after["orders"].select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+
+
 _GEN = Column("v", "INTEGER")
 _GENERATED = {
     "gen_int_range": (generate.Recipe("int_range", {"lo": 10, "hi": 99}), _GEN, "CAST(10 + floor(u * 90) AS INTEGER)"),

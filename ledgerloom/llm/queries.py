@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, token_counts, token_output, url_filter, vector_search
+from . import importance_sampling, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, spelling_variants, token_counts, token_output, url_filter, vector_search
 from .common import n_words, stage, staged_path
 
 
@@ -63,13 +63,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, url_filter.spam_list(pages))
 
 
+def op12_importance_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_sampling.resample(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "text"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict:
-    named = (op1_source_mixing, op2_line_dedup, op3_minhash_near_dedup, op4_quality_classifier, op5_quality_rules, op6_length_packing, op7_token_output, op8_vector_top_k, op9_token_counts, op10_url_filter)
+    named = (op1_source_mixing, op2_line_dedup, op3_minhash_near_dedup, op4_quality_classifier, op5_quality_rules, op6_length_packing, op7_token_output, op8_vector_top_k, op9_token_counts, op10_url_filter, op12_importance_sampling, op13_spelling_variants)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": OP1_SQL, "op8_vector_top_k": OP8_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_source_mixing": OP1_SQL, "op8_vector_top_k": OP8_SQL, "op10_url_filter": OP10_SQL, "op12_importance_sampling": OP12_SQL, "op13_spelling_variants": OP13_SQL}
 
 
 OP1_SQL = r"""
@@ -129,3 +137,62 @@ SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN is_listed THEN 'block' ELSE 'allow' END AS verdict, is_listed
 FROM judged
 """
+
+#: CRC-32 of the UTF-8 bytes of x.s for a table with one list, crc_table.t.
+_CRC_TABLE = """crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))
+)"""
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(length(hex(s)) // 2), lambda i: CAST('0x' || substr(hex(s), 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RUNS = r"unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+'))"
+
+OP12_SQL = rf"""
+WITH {_CRC_TABLE}, docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), words AS (SELECT r, s, count(*) AS n FROM (SELECT r, unnest(ws) AS s FROM docs) GROUP BY ALL),
+target AS (
+  SELECT s, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS s FROM benchmark) GROUP BY ALL
+), crcs AS (SELECT s, {_CRC} % 10000 AS bucket FROM (SELECT s FROM words UNION SELECT s FROM target), crc_table),
+corpus AS (SELECT bucket, sum(n) AS n FROM words JOIN crcs USING (s) GROUP BY ALL),
+aimed AS (SELECT bucket, sum(n) AS n FROM target JOIN crcs USING (s) GROUP BY ALL),
+gains AS (
+  SELECT b AS bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM corpus) + 10000)::DOUBLE / ((coalesce(c.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM aimed) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM range(10000) x(b) LEFT JOIN corpus c ON c.bucket = b LEFT JOIN aimed t ON t.bucket = b
+), sums AS (SELECT r, sum(n * gain) AS total FROM words JOIN crcs USING (s) JOIN gains USING (bucket) GROUP BY ALL),
+weighed AS (
+  SELECT doc_id, len(ws) AS n_features, CASE WHEN len(ws) = 0 THEN 0 ELSE CAST(floor(total / len(ws)) AS BIGINT) END AS weight,
+    CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM docs LEFT JOIN sums USING (r)
+), scored AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM weighed),
+placed AS (
+  SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id ASC NULLS LAST, n_features, weight) END AS p FROM scored
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CAST(CASE WHEN p <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100 THEN p END AS BIGINT) AS rank
+FROM placed
+"""
+
+OP13_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE}, runs AS (
+  SELECT w, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS s, count(*) AS n
+  FROM (SELECT doc_id, {_LOW.format(_RUNS)} AS w FROM documents) WHERE length(w) >= 6 GROUP BY ALL
+), hashed AS (SELECT w, n, {_CRC} AS h FROM runs, crc_table),
+spelt AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, CAST(h % length(w) AS INTEGER)) || substr(w, CAST(h % length(w) AS INTEGER) + 2) ELSE w END AS word, n FROM hashed),
+vocabulary AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 6 GROUP BY ALL HAVING sum(n) >= 5),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary),
+shorter AS (SELECT word, n, i, substr(word, 1, i - 1) AS l, substr(word, i + 1) AS r FROM places),
+pairs AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n AS n_other FROM shorter a JOIN shorter b ON a.i = b.i AND a.l = b.l AND a.r = b.r AND a.word <> b.word
+  UNION SELECT DISTINCT a.word, b.word, b.n FROM shorter a JOIN vocabulary b ON a.l || a.r = b.word
+  UNION SELECT DISTINCT b.word, a.word, a.n FROM shorter a JOIN vocabulary b ON a.l || a.r = b.word
+), near AS (SELECT word, count(*) AS n_near, min(struct_pack(m := -n_other, o := other)) AS best FROM pairs GROUP BY ALL),
+forms AS (
+  SELECT v.word, v.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN -best.m >= 5 * v.n THEN best.o END AS form, CAST(CASE WHEN -best.m >= 5 * v.n THEN -best.m END AS BIGINT) AS form_n
+  FROM vocabulary v LEFT JOIN near USING (word)
+), paths AS (
+  SELECT word, word AS at FROM forms UNION ALL SELECT p.word, f.form FROM paths p JOIN forms f ON f.word = p.at WHERE f.form IS NOT NULL
+), roots AS (SELECT p.word, p.at AS root FROM paths p JOIN forms f ON f.word = p.at WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import importance_sampling, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, spelling_variants, token_counts, token_output, url_filter, vector_search
+from . import importance_sampling, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, spelling_variants, suffix_dedup, token_counts, token_output, url_filter, vector_search
 from .common import n_words, stage, staged_path
 
 
@@ -63,6 +63,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, url_filter.spam_list(pages))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_importance_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_sampling.resample(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "text"))
 
@@ -72,7 +77,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op1_source_mixing, op2_line_dedup, op3_minhash_near_dedup, op4_quality_classifier, op5_quality_rules, op6_length_packing, op7_token_output, op8_vector_top_k, op9_token_counts, op10_url_filter, op12_importance_sampling, op13_spelling_variants)
+    named = (op1_source_mixing, op2_line_dedup, op3_minhash_near_dedup, op4_quality_classifier, op5_quality_rules, op6_length_packing, op7_token_output, op8_vector_top_k, op9_token_counts, op10_url_filter, op11_suffix_dedup, op12_importance_sampling, op13_spelling_variants)
     return {f.__name__: f for f in named}
 
 

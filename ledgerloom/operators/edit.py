@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.expressions import Compiler, attach_parents, compile_expression
 from ..plans.schema import ForeignKey, Schema, Table, table_order
 from .consistency import child_aggregate, recompute_derived
-from .generate import Recipe, column_order, conform, suffix_unique, uniform, value
+from .generate import Recipe, column_order, conform, uniform, value
+from .unique import suffix_unique
 from .validate import Report, validate
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import derive
+from ..functions.expressions import attach_parents, compile_expression, derive, parent_column, parse_parent_ref
 
 TOLERANCE = 0.011
 AGGREGATES = ("sum", "count", "min", "max", "avg")
@@ -52,6 +52,33 @@ def order_violations(df: DataFrame, column: str, after: Column, min_days: int =
     return df.where(late)
 
 
+def check(schema, plans: dict, tables: dict[str, DataFrame]) -> DataFrame | None:
+    """(table, column, rule, violations) of all relations that the recipes of a plan set up: derived columns, aggregates
+    of children, and dates after another column or a parent's; zero ones too. Tables that aren't given are left out.
+    Expressions that draw random numbers can't be checked."""
+    given, out = {k.lower(): v for k, v in tables.items()}, None
+    for t in schema.tables:
+        df, p = given.get(t.name.lower()), plans.get(t.name)
+        if df is None or p is None:
+            continue
+        parents = {fk.columns[0]: (given[fk.parent.lower()], fk.parent_columns[0]) for fk in t.foreign_keys if len(fk.columns) == 1 and fk.parent.lower() in given}
+        for c in t.columns:
+            r = p.columns[c.name]
+            a, rule, bad = r.args, r.kind, None
+            if r.kind == "derived" and not compile_expression(a["expression"]).uses_random:
+                bad = derived_mismatches(df, c.name, a["expression"], parents)
+            elif r.kind == "aggregate" and a["child"].lower() in given:
+                bad = aggregate_mismatches(df, t.primary_key[0], c.name, given[a["child"].lower()], a["fk"], a.get("column"), a["agg"], a.get("default", 0))
+            elif r.kind in ("date", "datetime") and a.get("after"):
+                ref, rule = parse_parent_ref(a["after"]), "after"
+                both = attach_parents(df, [ref], parents) if ref else df
+                bad = order_violations(both, c.name, F.col(parent_column(*ref) if ref else a["after"]).cast("date"), a.get("min", 0), F.lit(a["end"]))
+            if bad is not None:
+                one = bad.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(t.name).alias("table"), F.lit(c.name).alias("column"), F.lit(rule).alias("rule"), "violations")
+                out = one if out is None else out.unionByName(one)
+    return out
+
+
 def recompute_derived(df: DataFrame, recipes: dict[str, str], parents: dict | None = None) -> DataFrame:
     """df with its derived columns computed again, in the given order; types stay."""
     for column, expression in recipes.items():

@@ -151,7 +151,10 @@ def set_unique(df: DataFrame, columns: list[str], order: str, slots: int, to_slo
     if not counted.where("__n > 0").limit(1).count():
         return df
     counted = cut(counted.withColumn("__from", to_slot.cast("long")))
-    turn = F.pmod(F.xxhash64(F.lit(seed), *others), F.lit(slots)) if others else F.lit(0).cast("long")
+    turn = F.lit(0).cast("long")
+    if others:
+        text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in others])
+        turn = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") % slots
     kept = counted.where("__n = 0")
     keys = others or ["__all"]
     everything = {} if others else {"__all": F.lit(1)}

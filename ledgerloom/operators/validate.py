@@ -1,4 +1,8 @@
-"""Constraint validation: one aggregate pass per table, one grouping per key, one anti join per foreign key.
+"""Constraint validation: one scan of each table and one grouping for all rules, keys, foreign keys, CHECKs and row counts.
+
+Each row gives its tagged facts: a rule that it breaks with the value, its keys, the keys that it refers to, and its own
+key for tables that refer to it. One grouping by (tag, fact) then holds repeated keys, keys without a parent, and how
+often each wrong value occurs. The single checks below it are for one table and one kind of rule.
 
 Issues are rows (table, column, rule, violations, examples). Input columns may be typed or text, as read from files; a
 typed column can't break the type rules.
@@ -10,7 +14,7 @@ import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column as Col
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -219,19 +223,111 @@ def check_bounds(check: str, column: str) -> tuple[float | None, float | None, l
     return lo, hi, None
 
 
-def issue_frame(schema: Schema, tables: dict[str, DataFrame], notes: list[str] | None = None) -> DataFrame:
-    """Every rule of every supplied table with its violations (zero ones too), as one DataFrame."""
-    notes = [] if notes is None else notes
+@dataclass(frozen=True)
+class _Tag:
+    kind: str  # rule, key, fk or rows
+    table: str
+    column: str
+    rule: str
+
+
+#: Examples of an issue.
+EXAMPLES = 5
+
+
+def _key(df: DataFrame, columns: tuple[str, ...], like: list[T.DataType] | None = None) -> Col:
+    """A key as texts, null if part of it is null; values in the type of the key that they refer to, where they fit."""
+    cols = [F.col(_actual(df, c)) for c in columns]
+    texts = [x.cast("string") if kind is None else F.coalesce(x.try_cast(kind).cast("string"), x.cast("string")) for x, kind in zip(cols, like or [None] * len(cols), strict=True)]
+    whole = F.lit(True)
+    for x in cols:
+        whole &= x.isNotNull()
+    return F.when(whole, F.array(*texts))
+
+
+def _facts(schema: Schema, tables: dict[str, DataFrame], notes: list[str]) -> tuple[DataFrame | None, list[_Tag]]:
+    """Rows (tag, fact, n, parent) of all tables that have the schema's columns, and the tags."""
+    fits = {t.name: tables[t.name.lower()] for t in schema.tables if t.name.lower() in tables and {c.lower() for c in tables[t.name.lower()].columns} == {c.lower() for c in t.names}}
+    tags: list[_Tag] = []
+    made: dict[str, list[Col]] = {name: [] for name in fits}
+
+    def add(tag: _Tag, fact: Col, where: Col) -> int:
+        tags.append(tag)
+        made[tag.table].append(_fact(len(tags) - 1, fact, where, 0))
+        return len(tags) - 1
+
+    for t in schema.tables:
+        if (df := fits.get(t.name)) is None:
+            continue
+        add(_Tag("rows", t.name, "", "rows"), F.array().cast("array<string>"), F.lit(True))
+        for c in t.columns:
+            shown = F.array(F.substring(F.col(_actual(df, c.name)).cast("string"), 1, 60))
+            for rule, bad in column_rules(df, c).items():
+                add(_Tag("rule", t.name, c.name, rule), shown, bad)
+        for key in t.keys:
+            fact = _key(df, key)
+            add(_Tag("key", t.name, ", ".join(key), "pk_duplicate" if key == t.primary_key else "unique"), fact, fact.isNotNull())
+        for fk in t.foreign_keys:
+            if (parent := fits.get(fk.parent)) is None:
+                continue
+            kinds = [parent.schema[_actual(parent, p)].dataType for p in fk.parent_columns]
+            fact = _key(df, fk.columns, kinds)
+            at = add(_Tag("fk", t.name, ", ".join(fk.columns), "fk_dangling"), fact, fact.isNotNull())
+            own = _key(parent, fk.parent_columns, kinds)
+            made[schema.table(fk.parent).name].append(_fact(at, own, own.isNotNull(), 1))
+        for check in t.checks:
+            condition, names = check_condition(check, t)
+            if condition is None:
+                notes.append(f"{t.name}: CHECK ({check}) isn't evaluated")
+            else:
+                add(_Tag("rule", t.name, names, "check"), F.array().cast("array<string>"), check_failed(condition))
+    out = None
+    for name, facts in made.items():
+        one = fits[name].select(F.explode(F.array_compact(F.array(*facts))).alias("f")).select("f.*")
+        out = one if out is None else out.unionByName(one)
+    return out, tags
+
+
+def _fact(tag: int, fact: Col, where: Col, parent: int) -> Col:
+    return F.when(where, F.struct(F.lit(tag).alias("tag"), fact.alias("fact"), F.lit(1 - parent).cast("long").alias("n"), F.lit(parent).alias("parent")))
+
+
+def scan(schema: Schema, tables: dict[str, DataFrame], notes: list[str] | None = None) -> DataFrame | None:
+    """(kind, table, column, rule, violations, examples) of every tag, zero ones too; of kind rows, violations are the rows."""
     tables = {k.lower(): v for k, v in tables.items()}
+    facts, tags = _facts(schema, tables, [] if notes is None else notes)
+    if facts is None:
+        return None
+    spark = facts.sparkSession
+    # one row for each rule of the schema
+    named = F.broadcast(spark.createDataFrame([(i, x.kind, x.table, x.column, x.rule) for i, x in enumerate(tags)], "tag int, kind string, table string, column string, rule string"))
+    grouped = facts.groupBy("tag", "fact").agg(F.sum("n").alias("n"), F.max("parent").alias("parent")).join(named.select("tag", "kind"), "tag")
+    found = F.when(F.col("kind") == "key", F.col("n") - 1).when(F.col("kind") == "fk", F.when(F.col("parent") == 0, F.col("n")).otherwise(0)).otherwise(F.col("n"))
+    wrong = grouped.select("tag", "kind", "fact", found.alias("violations")).where("violations > 0")
+    place = F.row_number().over(Window.partitionBy("tag").orderBy("fact"))
+    shown = wrong.where((F.col("kind") != "rows") & (F.size("fact") > 0)).withColumn("place", place).where(F.col("place") <= EXAMPLES)
+    shown = shown.groupBy("tag").agg(F.transform(F.array_sort(F.collect_list("fact")), lambda x: F.array_join(x, ", ")).alias("examples"))
+    shown = shown.withColumn("examples", F.filter("examples", lambda x: x != ""))
+    totals = wrong.groupBy("tag").agg(F.sum("violations").alias("violations"))
+    out = named.join(totals, "tag", "left").join(shown, "tag", "left")
+    return out.select("kind", "table", "column", "rule", F.coalesce("violations", F.lit(0).cast("long")).alias("violations"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
+
+
+def issue_frame(schema: Schema, tables: dict[str, DataFrame], notes: list[str] | None = None) -> DataFrame | None:
+    """Every rule of every supplied table with its violations (zero ones too), as one DataFrame."""
+    out = scan(schema, tables, notes)
+    return out if out is None else out.where("kind <> 'rows'").drop("kind")
+
+
+def row_counts(schema: Schema, tables: dict[str, DataFrame], expected: dict[str, int]) -> DataFrame:
+    """(table, rows, expected, violations) of the tables for which a number of rows is expected."""
+    want = F.broadcast(next(iter(tables.values())).sparkSession.createDataFrame(list({k.lower(): v for k, v in expected.items()}.items()), "name string, expected long"))
     out = None
     for t in schema.tables:
-        df = tables.get(t.name.lower())
-        if df is None or {c.lower() for c in df.columns} != {c.lower() for c in t.names}:
-            continue
-        for part in (column_issues(df, t), key_issues(df, t), fk_issues(tables, t), check_issues(df, t, notes)):
-            if part is not None:
-                out = part if out is None else out.unionByName(part)
-    return out
+        if (df := {k.lower(): v for k, v in tables.items()}.get(t.name.lower())) is not None:
+            one = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t.name).alias("table"), "rows")
+            out = one if out is None else out.unionByName(one)
+    return out.join(want, F.lower("table") == F.col("name")).select("table", "rows", "expected", F.abs(F.col("rows") - F.col("expected")).alias("violations"))
 
 
 def validate(schema: Schema, tables: dict[str, DataFrame], *, expected_rows: dict[str, int] | None = None) -> Report:
@@ -243,6 +339,9 @@ def validate(schema: Schema, tables: dict[str, DataFrame], *, expected_rows: dic
     def issue(table: str, column: str, rule: str, n: int, examples=()) -> None:
         report.issues.append({"table": table, "column": column, "rule": rule, "violations": n, "examples": list(examples)})
 
+    found = scan(schema, tables, report.notes)
+    told = found.collect() if found is not None else []  # a row for each rule
+    rows = {r["table"]: r["violations"] for r in told if r["kind"] == "rows"}
     for t in schema.tables:
         df = given.get(t.name.lower())
         if df is None:
@@ -251,10 +350,10 @@ def validate(schema: Schema, tables: dict[str, DataFrame], *, expected_rows: dic
         have, want = {c.lower() for c in df.columns}, {c.lower() for c in t.names}
         if have != want:
             issue(t.name, "", "columns_mismatch", len(have ^ want), sorted(have ^ want))
-        report.rows[t.name] = df.count()
+        report.rows[t.name] = rows[t.name] if t.name in rows else df.count()
         if (n := expected.get(t.name.lower())) is not None and n != report.rows[t.name]:
             issue(t.name, "", "row_count", abs(n - report.rows[t.name]))
-    found = issue_frame(schema, tables, report.notes)
-    if found is not None:
-        report.issues += [{**r.asDict(), "examples": list(r["examples"])} for r in found.where("violations > 0").collect()]  # a row for each rule
+    for r in told:
+        if r["kind"] != "rows" and r["violations"]:
+            issue(r["table"], r["column"], r["rule"], r["violations"], r["examples"])
     return report

@@ -31,6 +31,10 @@ DENIED_FUNCTIONS = {
     "pg_read_file", "lo_import", "lo_export", "dblink", "setval", "pg_terminate_backend", "pg_cancel_backend", "read_files",
 }
 ROOTS = {"Project", "Sort", "GlobalLimit", "LocalLimit", "Distinct", "Union", "UnresolvedWith", "Aggregate", "Filter", "Intersect", "Except", "UnresolvedHaving", "Offset", "WithWindowDefinition", "UnresolvedHint", "SubqueryAlias"}
+#: Their expressions in the analysed plan, where keyword forms without parentheses are plain too; fixed values.
+DENIED_EXPRESSIONS = {"CurrentUser", "CurrentCatalog", "CurrentDatabase", "InputFileName", "InputFileBlockStart", "InputFileBlockLength", "CallMethodViaReflection", "SparkVersion", "SparkPartitionID", "MonotonicallyIncreasingID"}
+#: Functions that may stand for a table.
+TABLE_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple"}
 #: What a SELECT may be parsed into; any other node, IDENTIFIER() among them, is refused.
 NODES = ROOTS | {"UnresolvedRelation", "UnresolvedTableValuedFunction", "UnresolvedTVFAliases", "UnresolvedSubqueryColumnAliases", "UnresolvedInlineTable", "LocalRelation", "OneRowRelation", "Join", "AsOfJoin", "LateralJoin", "Generate", "Window", "Sample", "Pivot", "Unpivot"}
 MOST_ROWS, TIMEOUT_MS = 500, 15_000
@@ -68,6 +72,7 @@ def _walk(plan, seen: dict, scope: frozenset[str]) -> None:
         seen["relations"].append((parts, len(parts) == 1 and parts[0].lower() in scope))
     elif name == "UnresolvedTableValuedFunction":
         seen["functions"].add(_seq(plan.name())[-1].lower())
+        seen["table functions"].add(_seq(plan.name())[-1].lower())
     elif name == "UnresolvedWith":
         for pair in _seq(plan.cteRelations()):
             own = pair._1().lower()
@@ -106,7 +111,7 @@ def guard(spark: SparkSession, sql: str, *, limit: int = MOST_ROWS, tables: set[
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except (ParseException, Py4JJavaError) as e:
         raise SqlRejected(f"exactly one SELECT is expected: {str(e).strip().splitlines()[0]}") from e
-    seen: dict = {"nodes": set(), "functions": set(), "relations": []}
+    seen: dict = {"nodes": set(), "functions": set(), "table functions": set(), "relations": []}
     if plan.nodeName() not in ROOTS:
         raise SqlRejected(f"only SELECT and set operations are allowed, not {plan.nodeName()}")
     _walk(plan, seen, frozenset())
@@ -114,6 +119,8 @@ def guard(spark: SparkSession, sql: str, *, limit: int = MOST_ROWS, tables: set[
         raise SqlRejected(f"not allowed: {', '.join(sorted(bad))}")
     if bad := seen["functions"] & DENIED_FUNCTIONS:
         raise SqlRejected(f"function not allowed: {', '.join(sorted(bad))}")
+    if bad := seen["table functions"] - TABLE_FUNCTIONS:
+        raise SqlRejected(f"table function not allowed: {', '.join(sorted(bad))}")
     if bad := [r for r, _ in seen["relations"] if len(r) > 1]:
         raise SqlRejected(f"only plain table names are allowed, not {'.'.join(bad[0])}")
     names = sorted({r[0].lower() for r, _ in seen["relations"]})
@@ -123,13 +130,46 @@ def guard(spark: SparkSession, sql: str, *, limit: int = MOST_ROWS, tables: set[
     return GuardedSql(text, tuple(names), limit)
 
 
+def _refuse_analysed(df: DataFrame) -> None:
+    """No expression of the analysed plan shows the session, the files or the partitions."""
+
+    def walk(plan) -> None:
+        for e in _seq(plan.expressions()):
+            look(e)
+        for child in (*_seq(plan.children()), *_seq(plan.innerChildren())):
+            if hasattr(child, "expressions") and hasattr(child, "nodeName"):
+                walk(child)
+
+    def look(e) -> None:
+        kind = e.getClass().getSimpleName()
+        if kind in DENIED_EXPRESSIONS:
+            raise SqlRejected(f"not allowed: {kind}")
+        if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+            walk(e.plan())
+        for child in _seq(e.children()):
+            look(child)
+
+    walk(df._jdf.queryExecution().analyzed())
+
+
 def guarded_frame(spark: SparkSession, sql: str, tables: dict[str, DataFrame], limit: int | None = None) -> DataFrame:
-    """The guarded statement as a DataFrame over the given tables, capped if a limit is given."""
+    """The guarded statement as a DataFrame over the given tables, capped if a limit is given.
+
+    The tables have their names only while the statement is analysed; a view of such a name has it again afterwards."""
     checked = guard(spark, sql, tables=set(tables))
-    for name, df in tables.items():
-        if name.lower() in checked.tables:
-            df.createOrReplaceTempView(name.lower())
-    out = spark.sql(checked.sql)
+    mine = {name.lower(): df for name, df in tables.items() if name.lower() in checked.tables}
+    views = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+    before = {name: spark.table(name) for name in mine if name in views}
+    try:
+        for name, df in mine.items():
+            df.createOrReplaceTempView(name)
+        out = spark.sql(checked.sql)
+        _refuse_analysed(out)
+    finally:
+        for name in mine:
+            spark.catalog.dropTempView(name)
+        for name, df in before.items():
+            df.createOrReplaceTempView(name)
     return out if limit is None else out.limit(limit)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.expressions import derive
-from .operators import charts, consistency, edit, generate, validate
+from .operators import charts, consistency, edit, generate, unique, validate
 from .plans.guard import guarded_frame
 from .plans.schema import Column, parse_ddl
 from .sources.csvio import csv_lines
@@ -33,6 +33,7 @@ def load(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names or TABLES}
 
 
+_LIMITED = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -83,6 +84,23 @@ for _name, _text in GUARDED.items():
     _QUERIES[_name], _SQL[_name] = _guarded(_text), _text
 
 
+@query(f"{_LIMITED} LIMIT 50")
+def guarded_row_limit(spark, d):
+    return guarded_frame(spark, _LIMITED, load(spark, d), limit=50)
+
+
+@query("SELECT count(*) AS violations FROM lineitem JOIN part ON l_partkey = p_partkey WHERE abs(l_extendedprice - l_quantity * p_retailprice) > 0.011 UNION ALL SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE CAST(l_shipdate AS DATE) < CAST(o_orderdate AS DATE) + INTERVAL 5 DAY AND l_shipdate < DATE '1998-01-01' UNION ALL SELECT count(*) FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS a FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey WHERE abs(o_totalprice - coalesce(a, 0)) > 0.011")
+def consistency_of_plan(spark, d):
+    """All relations of a plan in one table of issues: a derived price, a date after the parent's, a total of children."""
+    import datetime as dt
+
+    plans = generate.plan(SCHEMA)
+    plans["lineitem"].columns.update({"l_extendedprice": generate.Recipe("derived", {"expression": "l_quantity * parent(l_partkey).p_retailprice"}), "l_shipdate": generate.Recipe("datetime", {"start": dt.date(1992, 1, 1), "end": dt.date(1998, 1, 1), "after": "parent(l_orderkey).o_orderdate", "min": 5})})
+    plans["orders"].columns["o_totalprice"] = generate.Recipe("aggregate", {"child": "lineitem", "fk": "l_orderkey", "column": "l_quantity", "agg": "sum"})
+    found = consistency.check(SCHEMA, plans, load(spark, d))
+    return found.where("column IN ('l_extendedprice', 'l_shipdate', 'o_totalprice')").select("violations")
+
+
 @query("SELECT CAST(sum(n - 1) AS BIGINT) AS violations FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)")
 def validate_pk_duplicates_lineitem(spark, d):
     return validate.key_issues(load(spark, d)["lineitem"], SCHEMA.table("lineitem")).select("violations")
@@ -167,18 +185,52 @@ def validate_check_three_valued(spark, d):
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS tbl, count(*) AS n FROM {t}" for t in TABLES))
 def validate_row_counts(spark, d):
-    out = None
-    for name, df in load(spark, d).items():
-        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("tbl"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return validate.row_counts(SCHEMA, load(spark, d), dict.fromkeys(TABLES, 0)).select(F.col("table").alias("tbl"), F.col("rows").alias("n"))
 
 
-@query()
+def _report_sql() -> str:
+    """The same rules over typed columns: types can't be wrong, lengths, enums, keys and CHECKs can."""
+    parts = []
+    for t in SCHEMA.tables:
+        def one(column: str, rule: str, count: str, table: str = t.name) -> None:
+            parts.append(f"SELECT '{table}' AS tbl, '{column}' AS col, '{rule}' AS rule, CAST(({count}) AS BIGINT) AS violations")
+
+        for c in t.columns:
+            if not c.nullable:
+                one(c.name, "not_null", f"SELECT count(*) FROM {t.name} WHERE {c.name} IS NULL")
+            if c.type == "ENUM":
+                one(c.name, "enum", f"SELECT count(*) FROM {t.name} WHERE {c.name} NOT IN ({', '.join(repr(v) for v in c.values)})")
+            elif c.max_length:
+                one(c.name, "varchar_length", f"SELECT count(*) FROM {t.name} WHERE length({c.name}) > {c.max_length}")
+        for key in t.keys:
+            one(", ".join(key), "pk_duplicate", f"SELECT coalesce(sum(n - 1), 0) FROM (SELECT count(*) AS n FROM {t.name} GROUP BY {', '.join(key)})")
+        for fk in t.foreign_keys:
+            one(", ".join(fk.columns), "fk_dangling", f"SELECT count(*) FROM {t.name} WHERE {fk.columns[0]} NOT IN (SELECT {fk.parent_columns[0]} FROM {fk.parent})")
+        for check in t.checks:
+            names = validate.check_condition(check, t)[1]
+            one(names, "check", f"SELECT count(*) FROM {t.name} WHERE NOT ({check})")
+    return " UNION ALL ".join(parts)
+
+
+@query(_report_sql())
 def validate_report(spark, d):
     return validate.issue_frame(SCHEMA, load(spark, d)).select(F.col("table").alias("tbl"), F.col("column").alias("col"), "rule", "violations")
 
 
+@query("""SELECT 'l_partkey' AS col, (SELECT count(*) FROM lineitem WHERE l_orderkey % 40 = 0) AS violations, (SELECT array_to_string(list(k ORDER BY k)[1:5], ';') FROM (SELECT DISTINCT CAST(-l_partkey AS VARCHAR) AS k FROM lineitem WHERE l_orderkey % 40 = 0)) AS examples
+  UNION ALL SELECT 'l_returnflag', (SELECT count(*) FROM lineitem WHERE l_orderkey % 30 = 0), (SELECT array_to_string(list(k ORDER BY k)[1:5], ';') FROM (SELECT DISTINCT 'Z' || (l_orderkey % 7) AS k FROM lineitem WHERE l_orderkey % 30 = 0))""")
+def validate_examples_corrupted(spark, d):
+    """One scan of corrupted line items: how many break each kind of rule, and the five least values that do."""
+    t = load(spark, d)
+    k = F.col("l_orderkey")
+    t["lineitem"] = t["lineitem"].withColumns({
+        "l_partkey": F.when(k % 40 == 0, -F.col("l_partkey")).otherwise(F.col("l_partkey")),
+        "l_returnflag": F.when(k % 30 == 0, F.concat(F.lit("Z"), (k % 7).cast("string"))).otherwise(F.col("l_returnflag")),
+    })
+    found = validate.issue_frame(SCHEMA, t).where("table = 'lineitem' AND rule IN ('fk_dangling', 'enum') AND column IN ('l_partkey', 'l_returnflag')")
+    return found.select(F.col("column").alias("col"), "violations", F.array_join("examples", ";").alias("examples"))
+
+
 def _aggregate(agg: str):
     def run(spark, d):
         t = load(spark, d)
@@ -344,10 +396,41 @@ def gen_fk_uniform(spark, d):
     return generate.sample_parent(rows, load(spark, d)["orders"], ["k"], ["o_orderkey"], generate.uniform(7, "t", "k", F.col("id"))).select("id", "k")
 
 
-@query()
+@query(f"""WITH weights AS (
+  SELECT c_custkey, CAST(floor(1e12::DOUBLE * pow(row_number() OVER (ORDER BY c_custkey)::DOUBLE, -0.8)) AS BIGINT) AS w FROM customer
+), summed AS (SELECT c_custkey, w, CAST(sum(w) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) AS BIGINT) - w AS before_ FROM weights),
+drawn AS (SELECT o_orderkey AS id, CAST(floor({_u('t', 'k', 'o_orderkey')} * (SELECT CAST(sum(w) AS DOUBLE) FROM weights)) AS BIGINT) AS place FROM orders)
+SELECT id, c_custkey AS k FROM drawn JOIN summed ON place >= before_ AND place < before_ + w""")
 def gen_fk_zipf(spark, d):
-    rows = spark.range(1, 20001)
-    return generate.sample_parent(rows, load(spark, d)["customer"], ["k"], ["c_custkey"], generate.uniform(7, "t", "k", F.col("id")), zipf=True).select("id", "k")
+    t = load(spark, d)
+    rows = t["orders"].select(F.col("o_orderkey").alias("id"))
+    return generate.sample_parent(rows, t["customer"], ["k"], ["c_custkey"], generate.uniform(7, "t", "k", F.col("id")), zipf=True).select("id", "k")
+
+
+@query("""SELECT round_no, CAST(least(40, (SELECT count(*) FROM customer) - 40 * (round_no - 1)) AS BIGINT) AS n, CAST(least(40, (SELECT count(*) FROM customer) - 40 * (round_no - 1)) AS BIGINT) AS distinct_n
+  FROM (SELECT unnest(range(1, CAST(ceil((SELECT count(*) FROM customer) / 40.0) AS BIGINT) + 1)) AS round_no)""")
+def gen_pool_distinct(spark, d):
+    """A unique column of a pool of 40 values: each value once, then each once with -2, and so on."""
+    rows = load(spark, d)["customer"].select((F.col("c_custkey") + 1).alias("__row"))  # keys from 0 on
+    n = rows.count()
+    pool = generate.Recipe("pool", {"values": [f"value{i}" for i in range(40)], "unique": True})
+    drawn = rows.select(generate.distinct_value(pool, 7, "t", Column("v", "VARCHAR", length=20), n).alias("v"))
+    round_no = F.coalesce(F.regexp_extract("v", "-([0-9]+)$", 1).try_cast("long"), F.lit(1).cast("long"))
+    return drawn.groupBy(round_no.alias("round_no")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("v").alias("distinct_n"))
+
+
+@query(f"""WITH rows_ AS (
+  SELECT o_custkey, o_orderkey, o_orderkey % 4 AS slot, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 4 ORDER BY o_orderkey) AS n,
+    CAST('0x' || substr(md5('7|' || o_custkey), 1, 13) AS BIGINT) % 100000 AS turn FROM orders
+), taken AS (SELECT o_custkey, list((slot - turn + 100000) % 100000) AS slots FROM rows_ WHERE n = 1 GROUP BY 1),
+again AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS j FROM rows_ WHERE n > 1)
+SELECT o_orderkey, slot AS code FROM rows_ WHERE n = 1
+UNION ALL SELECT o_orderkey, (list_filter(range(60), lambda x: NOT list_contains(slots, x))[j] + turn) % 100000 FROM again JOIN taken USING (o_custkey)""")
+def unique_set_of_customer_and_code(spark, d):
+    """UNIQUE (o_custkey, code): codes that a customer has already are drawn anew, from 100,000."""
+    t = load(spark, d)["orders"].select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 4).alias("code"))
+    out = unique.set_unique(t, ["o_custkey", "code"], "o_orderkey", 100_000, F.col("code"), lambda x, at: x.withColumn("code", F.col(at)), seed=7)
+    return out.select("o_orderkey", "code")
 
 
 RESTAURANT_DDL = """
@@ -359,7 +442,20 @@ CREATE TABLE bill_items (item_id INT PRIMARY KEY AUTO_INCREMENT, bill_id INT NOT
 """
 
 
-@query()
+def _no_issue_sql(schema) -> str:
+    """A row with 0 for each rule of a schema over typed columns."""
+    rules = []
+    for t in schema.tables:
+        for c in t.columns:
+            rules += [(t.name, c.name, "not_null")] * (not c.nullable) + [(t.name, c.name, "enum")] * (c.type == "ENUM")
+            rules += [(t.name, c.name, "varchar_length")] * bool(c.max_length and c.type != "ENUM") + [(t.name, c.name, "decimal_precision")] * (c.type == "DECIMAL")
+        rules += [(t.name, ", ".join(k), "pk_duplicate" if k == t.primary_key else "unique") for k in t.keys]
+        rules += [(t.name, ", ".join(fk.columns), "fk_dangling") for fk in t.foreign_keys]
+        rules += [(t.name, validate.check_condition(k, t)[1], "check") for k in t.checks]
+    return " UNION ALL ".join(f"SELECT '{t}' AS tbl, '{c}' AS col, '{r}' AS rule, 0::BIGINT AS violations" for t, c, r in rules)
+
+
+@query(_no_issue_sql(parse_ddl(RESTAURANT_DDL)))
 def gen_dataset_issues(spark, d):
     """A generated data set and its validation: every rule with 0 violations."""
     schema = parse_ddl(RESTAURANT_DDL)
@@ -373,6 +469,22 @@ def string_suffix_unique(spark, d):
     return generate.suffix_unique(df, "c_name", "c_custkey")
 
 
+@query("""SELECT c_custkey, v || CASE WHEN n = 1 THEN '' WHEN v LIKE '%-2' THEN '-' || n ELSE '-' || (n + 1) END AS v
+  FROM (SELECT c_custkey, v, row_number() OVER (PARTITION BY v ORDER BY c_custkey) AS n FROM (SELECT c_custkey, c_mktsegment || CASE WHEN c_custkey % 5 = 0 THEN '-2' ELSE '' END AS v FROM customer))""")
+def string_suffix_unique_taken(spark, d):
+    """Values that end in -2 already: the number 2 of their stem is taken."""
+    tail = F.when(F.col("c_custkey") % 5 == 0, "-2").otherwise("")
+    return unique.suffix_unique(load(spark, d)["customer"].select("c_custkey", F.concat("c_mktsegment", tail).alias("v")), "v", "c_custkey")
+
+
+@query("""SELECT n_nationkey, CASE WHEN n = 1 THEN v ELSE '-' || (row_number() OVER (PARTITION BY n > 1 ORDER BY v, n_nationkey) + 1) END AS v
+  FROM (SELECT n_nationkey, v, row_number() OVER (PARTITION BY v ORDER BY n_nationkey) AS n FROM (SELECT n_nationkey, chr(97 + n_nationkey % 20) || 'x' AS v FROM nation))""")
+def string_suffix_unique_char2(spark, d):
+    """CHAR(2): the suffix takes the whole length."""
+    code = F.concat(F.substring(F.lit("abcdefghijklmnopqrst"), (F.col("n_nationkey") % 20 + 1).cast("int"), F.lit(1)), F.lit("x"))
+    return unique.suffix_unique(load(spark, d)["nation"].select("n_nationkey", code.alias("v")), "v", "n_nationkey", 2)
+
+
 @query("SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS slug FROM part")
 def pattern_slug_names(spark, d):
     return load(spark, d)["part"].select("p_partkey", generate.slug(F.col("p_name")).alias("slug"))

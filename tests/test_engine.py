@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import charts, consistency, edit, generate
 from ledgerloom.operators.validate import validate
-from ledgerloom.plans.guard import SqlError, SqlRejected, Tools, guard, run_readonly
+from ledgerloom.plans.guard import SqlError, SqlRejected, Tools, guard, guarded_frame, run_readonly
 from ledgerloom.plans.schema import parse_ddl
 from ledgerloom.queries import RESTAURANT_DDL
 from ledgerloom.sources.csvio import CsvFormatError, csv_lines, read_csv, write_csv, write_zip
@@ -143,6 +143,26 @@ def test_guard_accepts_forms_of_select(spark, data, sql):
     guard(spark, sql, tables=set(data))
 
 
+SHOWN = ["SELECT current_user", "SELECT current_user() AS u", "SELECT guest_id FROM guests WHERE first_name = current_database", "SELECT (SELECT current_catalog)", "SELECT user FROM guests", "SELECT * FROM sql_keywords()", "SELECT max(session_user) FROM guests"]
+
+
+@pytest.mark.parametrize("sql", SHOWN)
+def test_guard_shows_nothing_of_the_session(spark, data, sql):
+    with pytest.raises((SqlRejected, SqlError)):
+        run_readonly(spark, sql, data)
+
+
+def test_names_are_those_of_the_data_set_only_while_analysed(spark, data):
+    spark.range(3).createOrReplaceTempView("guests")
+    one = guarded_frame(spark, "SELECT count(*) AS n FROM guests", data)
+    two = guarded_frame(spark, "SELECT count(*) AS n FROM guests", {"guests": data["guests"].limit(2)})
+    assert (one.first()[0], two.first()[0], spark.table("guests").count()) == (30, 2, 3)
+    spark.catalog.dropTempView("guests")
+    user = spark.createDataFrame([("me",)], "user string")  # a column may have the name
+    assert guarded_frame(spark, "SELECT user FROM t", {"t": user}).first()[0] == "me"
+    assert not spark.catalog.tableExists("t")
+
+
 def test_guard(spark, data):
     for sql in ALLOWED:
         guard(spark, sql, tables=set(data))

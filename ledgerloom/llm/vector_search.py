@@ -32,6 +32,8 @@ BLOCK = 2048
 QUERIES = 512
 #: Candidate blocks that one task reads for a query block.
 STRIDE = 8
+#: The largest double within a long: components beyond it are cut to it.
+LONG = float(2**63 - 1024)
 #: Vectors whose components the cell boundaries are fitted on.
 SAMPLE = 4096
 
@@ -47,11 +49,9 @@ def _quantise(scale: int):
                 peak = np.zeros(len(n))
                 if len(x):
                     peak[n > 0] = np.maximum.reduceat(np.abs(x), ends[:-1][n > 0])
-                # a null or infinite component fails here, and scores of 2**53 or more, which would not be exact
-                fit = peak * peak * n < 2**53
-                fit &= np.isfinite(peak)
-                raw = x.astype("<i8")
-            rows = [pa.array(n.astype(np.int32)), pa.array(np.where(fit, peak, 0).astype(np.int64)), pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(raw)])]
+                fit = np.isfinite(peak)  # false with a null or infinite component
+                raw = np.clip(np.nan_to_num(x), -LONG, LONG).astype("<i8")
+            rows = [pa.array(n.astype(np.int32)), pa.array(np.clip(np.where(fit, peak, 0), 0, LONG).astype(np.int64)), pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(raw)])]
             whole = pa.RecordBatch.from_arrays([batch.column("vec_id"), *rows], names=["vec_id", "dims", "peak", "v"])
             yield whole.filter(pc.and_(pc.and_(pa.array(fit), pc.is_valid(vectors)), pc.is_valid(batch.column("vec_id"))))
 
@@ -79,13 +79,20 @@ def approximate(x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 
 def bounds(cell: np.ndarray, cuts: np.ndarray, least: np.ndarray, most: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bound of each query's product with each vector; least and most: extremes of the dimensions."""
+    """Lower and upper bound of each query's product with each vector; least and most: extremes of the dimensions.
+
+    Exact where no sum can pass 2**53; beyond it both go outwards by more than doubles can be wrong."""
     dims = np.arange(cell.shape[1])
     # outer cells end at the block's extremes, and so does a cell that passes them
     low = np.maximum(np.concatenate((least[None], cuts)), least)[cell, dims].astype(np.float64)
     high = np.minimum(np.concatenate((cuts - 1, most[None])), most)[cell, dims].astype(np.float64)
     up, down = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
-    return up @ low.T + down @ high.T, up @ high.T + down @ low.T
+    lower, upper = up @ low.T + down @ high.T, up @ high.T + down @ low.T
+    largest = max((float(abs(x).max()) for x in (low, high) if x.size), default=0.0)
+    if len(dims) * largest * max(float(up.max(initial=0)), -float(down.min(initial=0))) >= 2**53:
+        margin = (up - down) @ np.maximum(np.abs(low), np.abs(high)).T * ((len(dims) + 8) * 2.0**-52)
+        lower, upper = lower - margin, upper + margin
+    return lower, upper
 
 
 def _pack(cuts: np.ndarray, kind: str):
@@ -164,7 +171,11 @@ def _scores(dims: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v, q = (_matrix(batch.column(c), dims, kind).astype(np.int64) for c in ("v", "q"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("quid", "query_id", "vec_id", "copies")), pa.array(np.einsum("ij,ij->i", v, q), pa.int64())], names=["quid", "query_id", "vec_id", "copies", "score"])
+            score = np.einsum("ij,ij->i", v, q)  # right wherever the sum fits a long, whatever passes on the way
+            for i in np.flatnonzero(np.abs(np.einsum("ij,ij->i", v.astype(np.float64), q.astype(np.float64))) >= 2**62):
+                exact = sum(a * b for a, b in zip(v[i].tolist(), q[i].tolist(), strict=True))
+                score[i] = max(-(2**63), min(2**63 - 1, exact))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("quid", "query_id", "vec_id", "copies")), pa.array(score, pa.int64())], names=["quid", "query_id", "vec_id", "copies", "score"])
 
     return run
 
@@ -183,9 +194,9 @@ def top_k(vectors: DataFrame, every: int = EVERY, top: int = TOP, scale: int = S
 
     Components are floor(scale * x). Queries are rows whose vec_id is divisible by ``every``; a candidate is any row
     with another vec_id. Ties go to the smaller vec_id. Vectors that are null, or hold a null or a component that isn't
-    finite, or so large that scores would pass 2**53, and rows with a null vec_id take no part; vectors only meet those of the same length. Repeated vec_ids
-    among candidates are results of their own; a repeated query vec_id is asked once for each of its distinct vectors,
-    with ranks of its own. Vectors without components score 0. An empty table gives no rows.
+    finite, and rows with a null vec_id take no part; vectors only meet those of the same length. Components and scores
+    beyond a long are cut to it (scores then tie). Repeated vec_ids among candidates are results of their own; a repeated
+    query vec_id is asked once for each of its distinct vectors, with ranks of its own. Vectors without components score 0. An empty table gives no rows.
     """
     ship(vectors.sparkSession)
     whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_quantise(scale), "vec_id long, dims int, peak long, v binary")

@@ -314,10 +314,21 @@ def test_votes_of_a_mostly_bad_corpus():
     assert post[bad] < 0.01 < 0.99 < post[good]
 
 
-def test_large_vectors_take_no_part(spark):
-    rows = [(0, [1.0, 0.5]), (1, [1e300, 0.0]), (2, [0.5, 0.5])]
+def test_large_vectors_take_part(spark):
+    """Every finite vector takes part (the contract leaves out null and non-finite ones); scores stay exact."""
+    rng = random.Random(6)
+    rows = [(0, [1.0, 0.5]), (1, [2e6, 0.0]), (2, [0.5, 0.5]), (20, [3e6, 1.0])]
+    rows += [(i, [rng.choice([-1, 1]) * 10 ** rng.uniform(-2, 7.4) for _ in range(2)]) for i in range(30, 130)]
+    ints = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    want = []
+    for q in (i for i in ints if i % 20 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(ints[q], w, strict=True)), c) for c, w in ints.items() if c != q)[:20]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(scored)]
+    assert max(w[3] for w in want) > 2**59
     got = vector_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(0, 2, 64 * 32 + 32 * 32)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    cut = vector_search.top_k(spark.createDataFrame([(0, [1.0, 0.5]), (1, [1e300, 0.0]), (2, [0.5, 0.5]), (3, [-1e300, 0.0])], "vec_id long, embedding array<double>")).collect()
+    assert [(r["vec_id"], r["score"]) for r in cut] == [(1, 2**63 - 1), (2, 64 * 32 + 32 * 32), (3, -(2**63))]
 
 
 def test_repeated_vectors_and_ids(spark):

@@ -1,7 +1,7 @@
 import pytest
 
 from ledgerloom.operators.validate import check_bounds
-from ledgerloom.plans.schema import DDLEmitError, DDLParseError, UnsatisfiableSchemaError, emit_foreign_keys, emit_schema_script, emit_tables, error_context, parse_ddl, schema_summary, table_order
+from ledgerloom.plans.schema import DDLEmitError, DDLParseError, UnsatisfiableSchemaError, emit_foreign_keys, emit_schema_script, emit_identity_restarts, emit_tables, parse_ddl, schema_summary, table_order
 
 
 def test_both_dialects():
@@ -27,8 +27,19 @@ def test_errors(ddl):
         parse_ddl(ddl)
 
 
-def test_error_context():
-    assert error_context("a\nb\nc", "bad. Line 2, Col: 1.").split("\n")[2].endswith("^")
+def test_the_place_of_a_fault():
+    with pytest.raises(DDLParseError) as e:
+        parse_ddl("CREATE TABLE t (\n  a INT,\n  b INT NOT NUL\n)")
+    assert (e.value.line, e.value.ddl.count("\n")) == (3, 3)
+    lines = e.value.excerpt().split("\n")
+    assert lines[:2] == ["2:   a INT,", "3:   b INT NOT NUL"] and lines[2].index("^") - 3 == e.value.column - 1 and lines[3] == "4: )"
+    assert DDLParseError("the DDL is empty").excerpt() == ""
+
+
+def test_identity_goes_on_behind_the_rows(spark):
+    s = parse_ddl("CREATE TABLE a (id SERIAL PRIMARY KEY, n INT); CREATE TABLE b (id INT PRIMARY KEY AUTO_INCREMENT); CREATE TABLE c (id INT PRIMARY KEY)")
+    tables = {"a": spark.createDataFrame([(4, 9), (7, 1)], "id int, n int"), "b": spark.createDataFrame([], "id int"), "c": spark.createDataFrame([(1,)], "id int")}
+    assert emit_identity_restarts(s, tables) == ['ALTER TABLE "a" ALTER COLUMN "id" RESTART WITH 8', 'ALTER TABLE "b" ALTER COLUMN "id" RESTART WITH 1']
 
 
 def test_order_and_cycles():

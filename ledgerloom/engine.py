@@ -47,7 +47,7 @@ class Built:
 
 
 def fill_pools(plans: dict[str, TablePlan], schema: Schema, provider: PoolProvider) -> tuple[dict[str, TablePlan], list[str]]:
-    """Pools that have a brief and no values get texts of the provider: stripped, distinct, not longer than the column.
+    """Pools that have a brief and no values get texts of the provider: single blanks, distinct, not longer than the column.
     Where none is left (or the provider fails), the column gets pairs of words, and a note says so."""
     out, notes = {}, []
     for name, p in plans.items():
@@ -61,7 +61,7 @@ def fill_pools(plans: dict[str, TablePlan], schema: Schema, provider: PoolProvid
             except Exception as e:  # whatever a client raises: a pool is never worth the whole data set
                 found, said = [], str(e)
                 notes.append(f"{name}.{column}: no texts ({said})")
-            values = [v for v in dict.fromkeys(str(x).strip() for x in found) if v and (most is None or len(v) <= most)]
+            values = [v for v in dict.fromkeys(" ".join(str(x).split()) for x in found) if v and (most is None or len(v) <= most)]
             if not values:
                 notes.append(f"{name}.{column}: pairs of words instead of {r.args['brief']!r}")
             made = {**r.args, "values": values} if values else {"template": "{faker:word} {faker:word}", "unique": r.args.get("unique", False)}

@@ -7,6 +7,7 @@ from numbers import Number
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KINDS = ("bar", "line", "pie", "scatter", "histogram")
 
@@ -24,6 +25,40 @@ class ChartSpec:
     title: str = ""
 
 
+def plot_columns(df: DataFrame) -> DataFrame:
+    """Decimals as doubles and dates as timestamps, for plots; other columns stay."""
+    made = {}
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.DecimalType):
+            made[f.name] = F.col(f.name).cast("double")
+        elif isinstance(f.dataType, T.DateType):
+            made[f.name] = F.col(f.name).cast("timestamp_ntz")
+    return df.withColumns(made) if made else df
+
+
+def series_frame(spec: ChartSpec, df: DataFrame) -> DataFrame:
+    """The points of a chart, x, y and color (where the chart has them), as a DataFrame of a result of any size. A y of
+    numbers in text is converted; one without any number is refused."""
+    if spec.kind not in KINDS:
+        raise ChartSpecError(f"unknown chart {spec.kind}")
+    named = {k: c for k, c in (("x", spec.x), ("y", spec.y), ("color", spec.color)) if c}
+    for c in named.values():
+        if c not in df.columns:
+            raise ChartSpecError(f"the result has no column {c} (it has {', '.join(df.columns)})")
+    if spec.kind != "histogram" and spec.y is None:
+        raise ChartSpecError(f"a {spec.kind} chart needs y")
+    out = plot_columns(df.select(*[F.col(c).alias(k) for k, c in named.items()]))
+    if spec.y is not None and not isinstance(out.schema["y"].dataType, T.NumericType):
+        if not isinstance(out.schema["y"].dataType, T.StringType):
+            raise ChartSpecError(f"{spec.y} isn't numeric")
+        out = out.withColumn("y", F.col("y").try_cast("double"))
+        if not out.where("y IS NOT NULL").limit(1).count():
+            raise ChartSpecError(f"{spec.y} isn't numeric")
+    elif not out.limit(1).count():
+        raise ChartSpecError("the result is empty")
+    return out.orderBy(F.col("x").asc_nulls_last()) if spec.kind == "line" else out
+
+
 def series(spec: ChartSpec, columns: list[str], rows: list[tuple]) -> list[dict]:
     if spec.kind not in KINDS:
         raise ChartSpecError(f"unknown chart {spec.kind}")

@@ -512,6 +512,32 @@ def chart_series_bar(spark, d):
     return guarded_frame(spark, "SELECT l_returnflag AS x, CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) AS y FROM lineitem GROUP BY l_returnflag", load(spark, d))
 
 
+@query("SELECT CAST(o_orderdate AS TIMESTAMP) AS x, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS y, o_orderstatus AS color FROM orders GROUP BY o_orderdate, o_orderstatus")
+def chart_series_frame(spark, d):
+    """The points of a line chart over a guarded result with dates and decimals."""
+    text = "SELECT CAST(o_orderdate AS DATE) AS day, o_orderstatus, sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS total FROM orders GROUP BY CAST(o_orderdate AS DATE), o_orderstatus"
+    return charts.series_frame(charts.ChartSpec("line", "day", "total", "o_orderstatus"), guarded_frame(spark, text, load(spark, d)))
+
+
+@query("SELECT p_partkey, trim(regexp_replace('  ' || replace(p_name, ' ', chr(9) || ' ') || chr(10), '\\s+', ' ', 'g')) AS name FROM part")
+def string_squeeze(spark, d):
+    messy = F.concat(F.lit("  "), F.replace(F.col("p_name"), F.lit(" "), F.lit("\t ")), F.lit("\n"))
+    return load(spark, d)["part"].select("p_partkey", generate.squeeze(messy).alias("name"))
+
+
+@query(f"""SELECT p_partkey, CASE WHEN p_size < 10 THEN CAST(1 + floor({_u('part', 'p_size', 'p_partkey', 7000)} * 5) AS INTEGER) ELSE p_size END AS p_size,
+  CASE CAST(floor({_u('part', 'p_brand', 'p_partkey', 7001)} * 3) AS INTEGER) WHEN 0 THEN 'red' WHEN 1 THEN 'green' ELSE 'blue' END AS p_brand, CASE WHEN p_retailprice > 1500 THEN 'dear' ELSE p_type END AS p_type FROM part""")
+def edit_apply_three_operations(spark, d):
+    """Numbers drawn anew, a pool exchanged and values set, as one checked edit."""
+    ops = [
+        edit.Op("regenerate_column", {"column": "p_size", "recipe": generate.Recipe("int_range", {"lo": 1, "hi": 5}), "where": "p_size < 10"}),
+        edit.Op("update_pool", {"column": "p_brand", "values": ["red", "green", "blue"]}),
+        edit.Op("set_values", {"column": "p_type", "value": "dear", "where": "p_retailprice > 1500"}),
+    ]
+    after, _ = edit.apply(SCHEMA, load(spark, d), "part", ops, seed=7)
+    return after["part"].select("p_partkey", "p_size", "p_brand", "p_type")
+
+
 @query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2")
 def events_json_prop_counts(spark, d):
     return load(spark, d, "events")["events"].groupBy("event_type", F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))

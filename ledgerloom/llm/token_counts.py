@@ -10,6 +10,7 @@ text: truncation and budget questions are look-ups and need no encoding.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import pairwise
@@ -25,8 +26,8 @@ from .common import ship
 from .text_arrays import buffers
 
 LIMIT = 4096
-#: Distinct segments whose counts a Python worker keeps; then it starts anew.
-CACHE = 500_000
+#: Distinct segments whose counts, at every prefix, a Python worker keeps; then it starts anew.
+CACHE = 300_000
 
 
 class PrefixCounter:
@@ -42,7 +43,7 @@ class PrefixCounter:
         if sp.encode("\n\n", out_type=str)[-2:] != ["<0x0A>", "<0x0A>"] or sp.encode("a  b", out_type=str)[0] != "▁a":
             raise ValueError("the model must keep texts as they are, put a blank before them and fall back to bytes")
         self._fits: dict[tuple[str, str], bool] = {}
-        self._cache: dict[str, int] = {}
+        self._cache: dict[str, array] = {}
 
     def _merged(self, text: str) -> list[str]:
         parts = list(text)
@@ -85,16 +86,20 @@ class PrefixCounter:
                 raise ValueError(f"no piece ends at {i} of {segment[:50]!r}")
         return count
 
-    def total(self, segment: str) -> int:
+    def stored(self, segment: str) -> array:
+        """counts(), worked out once for each distinct segment."""
         known = self._cache.get(segment)
         if known is None:
             if len(self._cache) >= CACHE:
                 self._cache.clear()
-            known = self._cache[segment] = self.counts(segment)[-1]
+            known = self._cache[segment] = array("i", self.counts(segment))
         return known
 
-    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(byte each segment starts at, pieces up to each segment's end, first segment of each text and the end).
+    def total(self, segment: str) -> int:
+        return self.stored(segment)[-1]
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """(byte each segment starts at, pieces up to each segment's end, first segment of each text and the end, segments).
 
         Texts get the blank that the model puts before them; bytes count from the batch's start, with that blank.
         """
@@ -114,7 +119,7 @@ class PrefixCounter:
         coded = segs.dictionary_encode()
         each = np.fromiter(map(self.total, coded.dictionary.to_pylist()), dtype=np.int64, count=len(coded.dictionary))
         sums = np.cumsum(each[coded.indices.to_numpy(zero_copy_only=False)]) if len(at) else np.zeros(0, dtype=np.int64)
-        return at, sums, first
+        return at, sums, first, segs
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -145,27 +150,27 @@ class PrefixCounts:
         end = min(length, len(self.text)) + 1  # with the blank before the text
         k = bisect_right(self.starts, end - 1) - 1
         stop = self.starts[k + 1] if k + 1 < len(self.starts) else len(self._shown)
-        return self.sums[k] + self._of.counts(self._shown[self.starts[k] : stop])[end - self.starts[k]]
+        return self.sums[k] + self._of.stored(self._shown[self.starts[k] : stop])[end - self.starts[k]]
 
     def truncate(self, budget: int) -> int:
-        """The most characters whose prefix, and each shorter one that ends a segment, has at most ``budget`` tokens."""
+        """The most characters whose prefix has at most ``budget`` tokens."""
         if not self.text or budget <= 0:
             return 0
         k = bisect_right(self.sums, budget) - 1  # whole segments that fit
         if k >= len(self.starts):
             return len(self.text)
         stop = self.starts[k + 1] if k + 1 < len(self.starts) else len(self._shown)
-        own = self._of.counts(self._shown[self.starts[k] : stop])
+        own = self._of.stored(self._shown[self.starts[k] : stop])
         fit = max(i for i, c in enumerate(own) if self.sums[k] + c <= budget)
         return max(0, self.starts[k] + fit - 1)
 
 
-def _prefixes(model: str):
+def _prefixes(model: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(model)
         for batch in batches:
             texts = batch.column("text")
-            at, sums, first = own.batch(texts)
+            at, sums, first, segs = own.batch(texts)
             n = np.diff(first)
             # segments end where the next one starts, the last of a text where the text does; the blank before it isn't its own
             blank = np.cumsum(n > 0) - (n > 0)
@@ -177,31 +182,39 @@ def _prefixes(model: str):
             offsets = pa.array(first.astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (ends - starts[row] - 1, sums - base[row])]
             n_bytes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n_bytes, *lists], names=["doc_id", "n_bytes", "end_byte", "n_tokens"])
+            fit = size[1:] - size[:-1]  # of texts within the limit, all
+            for i in np.flatnonzero(np.concatenate(([0], sums))[first[1:]] - base > limit):
+                # the segment in which the limit is passed: its stored counts say where
+                k = first[i] + np.searchsorted(sums[first[i] : first[i + 1]] - base[i], limit, side="right")
+                before = (sums[k - 1] if k > first[i] else base[i]) - base[i]
+                segment = segs[int(k)].as_py()
+                inside = max(j for j, n_before in enumerate(own.stored(segment)) if before + n_before <= limit)
+                fit[i] = max(0, at[k] - (size[i] + blank[i]) + len(segment[:inside].encode()) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n_bytes, *lists, pa.array(fit, pa.int64())], names=["doc_id", "n_bytes", "end_byte", "n_tokens", "fit_bytes"])
 
     return run
 
 
-def prefix_table(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_bytes, end_byte, n_tokens: the count at the end of every segment of each text, as two parallel arrays.
+def prefix_table(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
+    """doc_id, n_bytes, end_byte, n_tokens, fit_bytes: the count at the end of every segment of each text, as two
+    parallel arrays, and the bytes of the longest prefix, of whole characters, with at most ``limit`` tokens.
 
-    A budget is then answered in SQL: the last end_byte whose n_tokens fits. Bytes of segments are those of the text
+    Other budgets are answered in SQL to the end of a segment: the last end_byte whose n_tokens fits; fit_bytes goes on
+    inside the segment by the counts that are stored for each of its prefixes. Bytes of segments are those of the text
     with each U+2581 taken as the blank it encodes as; n_bytes is the text's own size. Null and empty texts have empty
     arrays.
     """
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_prefixes(model), "doc_id long, n_bytes long, end_byte array<int>, n_tokens array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_prefixes(model, limit), "doc_id long, n_bytes long, end_byte array<int>, n_tokens array<int>, fit_bytes long")
 
 
 def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, fit_bytes for each row of a table with doc_id and text.
 
-    All are look-ups in the prefix table: n_tokens is the last prefix's count, fit_bytes the end of the last segment up
-    to which the count is within the limit. Counts are those of the library without added tokens. Null and empty texts
+    All are look-ups in the prefix table: n_tokens is the last prefix's count, fit_bytes the bytes of the longest prefix
+    within the limit. Counts are those of the library without added tokens. Null and empty texts
     have 0 bytes and tokens; rows are counted one by one, so null or repeated ids need no care. An empty table gives no
     rows.
     """
     total = F.coalesce(F.try_element_at("n_tokens", F.lit(-1)), F.lit(0)).cast("long")
-    within = F.when(total <= limit, F.size("n_tokens")).otherwise(F.size(F.filter("n_tokens", lambda n: n <= limit)))
-    fit = F.coalesce(F.get("end_byte", within - 1), F.lit(0)).cast("long")
-    return prefix_table(docs, model).select("doc_id", "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"), fit.alias("fit_bytes"))
+    return prefix_table(docs, model, limit).select("doc_id", "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"), "fit_bytes")

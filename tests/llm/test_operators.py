@@ -289,6 +289,22 @@ def test_token_counts(docs, rows, empty):
     assert table["end_byte"][-1] == len("three short words") and table["n_tokens"][-1] == len(sp.encode("three short words"))
 
 
+def test_bytes_within_a_limit_are_exact(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=SP)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("日本語中文字典的是不了人我在有他这") for _ in range(10_000)), "x" * 3000, "é" * 700, "ab " * 900, "▁" * 50 + "日本" * 300, "a\n\n" * 400 + "abcdefghij" * 100, "short", ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    for limit in (1, 37, 256, 4096):
+        for i, fit in ((r["doc_id"], r["fit_bytes"]) for r in token_counts.token_counts(frame, SP, limit).collect()):
+            text = texts[i].replace("▁", " ")
+            cut = len(text.encode()[:fit].decode())
+            counts = {k: len(sp.encode(text[:k])) for k in range(cut, min(len(text), cut + 40) + 1)}
+            assert counts[cut] <= limit and (cut == len(text) or min(n for k, n in counts.items() if k > cut) > limit), (i, limit)
+    assert token_counts.token_counts(frame.where("doc_id = 0"), SP).first()["fit_bytes"] > 11_000
+
+
 def test_url_filter(spark):
     urls = ["https://A.Example.org/es/x?q", "http://example.org/en/12#f", "x://example.org/en/2", "http://m.net/p.html", "http://www.m.net/p/", "http://m.net/q", "nohost", None, "http://b.com/fr/", "http://com/de/9", "http://notcom/de/", "http://x.org", "http://x.org?y", "http://a://b/c", "", "://h/p"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("verdict", F.lit("clash"))

@@ -210,12 +210,19 @@ class Compiler:
         if isinstance(n, ast.BoolOp):
             nodes = [self._node(x) for x in n.values]
             stop = isinstance(n.op, ast.Or)
-            value, void = self._truth(nodes[-1]), nodes[-1].void
+            kinds = {x.kind for x in nodes} - {"null"}
+            kind = kinds.pop() if len(kinds) == 1 else "bool"
+            # operands of one kind give the one that decides; without any that holds, "or" is false: 0, "" or no date
+            as_value = {"number": lambda x: x.value.cast("double"), "bool": self._truth}.get(kind, lambda x: x.value)
+            none_holds = {"number": F.lit(0.0), "bool": F.lit(False), "text": F.lit("")}.get(kind, F.lit(None))
+            value, void = as_value(nodes[-1]), nodes[-1].void
+            if stop:
+                value = F.when(self._truth(nodes[-1]), value).otherwise(none_holds)
             for a in reversed(nodes[:-1]):  # what stops here hides what follows
                 t = self._truth(a) if stop else ~self._truth(a)
-                value = F.when(t, F.lit(stop)).otherwise(value)
+                value = F.when(t, as_value(a)).otherwise(value)
                 void = F.when(a.void, True).when(t, False).otherwise(void)
-            return _Node(value, void, "bool")
+            return _Node(value, void, kind)
         if isinstance(n, ast.IfExp):
             c, a, b = self._node(n.test), self._node(n.body), self._node(n.orelse)
             kind = b.kind if a.kind == "null" else a.kind

@@ -75,3 +75,17 @@ def test_against_python(spark, pairs):
         else:
             want = (b - a) % 7
         assert r["derived"] == want
+
+
+def test_value_of_and_or_is_the_operand_that_decides(spark):
+    rows = [(1, 0, 7, "", "x"), (2, 3, 0, "y", ""), (3, None, 5, None, "z"), (4, 0, 0, "", "")]
+    df = spark.createDataFrame(rows, "id int, a int, b int, s string, t string")
+
+    def got(expression):
+        return [r["derived"] for r in derive(df, expression).orderBy("id").collect()]
+
+    assert got("a or b") == [7, 3, 5, 0] and got("a and b") == [0, 0, None, 0]
+    assert got("a or 5") == [5, 3, 5, 5] and got("a or b or 9") == [7, 3, 5, 9]
+    assert got("s or t") == ["x", "y", "z", ""] and got("s and t") == ["", "", None, ""]
+    assert got("(a or b) + 1") == [8, 4, 6, 1] and got("1 if a or b else 0") == [1, 1, 1, 0]
+    assert got("1 if a or s else 0") == [0, 1, 0, 0]  # of different kinds: only whether it holds

@@ -217,14 +217,14 @@ def validate_report(spark, d):
     return validate.issue_frame(SCHEMA, load(spark, d)).select(F.col("table").alias("tbl"), F.col("column").alias("col"), "rule", "violations")
 
 
-@query("""SELECT 'l_partkey' AS col, (SELECT count(*) FROM lineitem WHERE l_orderkey % 40 = 0) AS violations, (SELECT array_to_string(list(k ORDER BY k)[1:5], ';') FROM (SELECT DISTINCT CAST(-l_partkey AS VARCHAR) AS k FROM lineitem WHERE l_orderkey % 40 = 0)) AS examples
+@query("""SELECT 'l_partkey' AS col, (SELECT count(*) FROM lineitem WHERE l_orderkey % 40 = 0) AS violations, (SELECT array_to_string(list(k ORDER BY k)[1:5], ';') FROM (SELECT DISTINCT CAST(-1 - l_partkey AS VARCHAR) AS k FROM lineitem WHERE l_orderkey % 40 = 0)) AS examples
   UNION ALL SELECT 'l_returnflag', (SELECT count(*) FROM lineitem WHERE l_orderkey % 30 = 0), (SELECT array_to_string(list(k ORDER BY k)[1:5], ';') FROM (SELECT DISTINCT 'Z' || (l_orderkey % 7) AS k FROM lineitem WHERE l_orderkey % 30 = 0))""")
 def validate_examples_corrupted(spark, d):
     """One scan of corrupted line items: how many break each kind of rule, and the five least values that do."""
     t = load(spark, d)
     k = F.col("l_orderkey")
     t["lineitem"] = t["lineitem"].withColumns({
-        "l_partkey": F.when(k % 40 == 0, -F.col("l_partkey")).otherwise(F.col("l_partkey")),
+        "l_partkey": F.when(k % 40 == 0, -1 - F.col("l_partkey")).otherwise(F.col("l_partkey")),
         "l_returnflag": F.when(k % 30 == 0, F.concat(F.lit("Z"), (k % 7).cast("string"))).otherwise(F.col("l_returnflag")),
     })
     found = validate.issue_frame(SCHEMA, t).where("table = 'lineitem' AND rule IN ('fk_dangling', 'enum') AND column IN ('l_partkey', 'l_returnflag')")

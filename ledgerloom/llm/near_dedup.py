@@ -7,9 +7,11 @@ candidates need a look at their full sets.
 
 Pairs of a bucket are not all made. First every class meets the leader of its bucket, the class with the most copies.
 What that links is joined into components; a second pass takes only buckets that still hold several components, and
-only pairs across components whose sketches are near: of two components the best pair is confirmed first, the others
-only if that leaves them apart. So groups of thousands of near copies cost a few links per member. A link is missed
-if its estimate is off by more than MARGIN, or, where two components have over FIRST pairs in a bucket, by SURE.
+only pairs across components whose sketches are near. Each member names its NEAREST partners; of two components the
+best pair is confirmed first, the others only if that leaves them apart. Where a member has more partners than it names
+and its bucket still holds several components, the members' full sets meet block by block inside tasks, which give only
+links that join components. So output grows with the members, not with their pairs, and no pair near by its sketches
+is left out. A link is missed only if its estimate is off by more than MARGIN or it shares no band.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ MINHASHES = 252
 SKETCH_BITS = 1024
 #: Estimates of pairs at the threshold spread by about 0.023 (252 samples and the sketch); three and a half times that.
 MARGIN = 0.08
-#: Pairs of two components beyond the FIRST are held to a margin of two times the spread.
-FIRST, SURE = 64, 0.045
+#: Partners that a member of a bucket names; if it has more, the full sets of its block meet.
+NEAREST = 8
+#: Shingles of the texts that meet at a time; a block of more is dealt in parts of this size.
+PART = 1 << 21
 #: Members of a bucket that one task compares at a time; larger buckets are compared block by block.
 BLOCK = 2048
 
@@ -160,68 +164,164 @@ def _verify(percent: int):
     return run
 
 
-def _cross_pairs(most: int, percent: int):
-    """Near pairs across components within each (bucket, block pair), rows of which come together.
+class _Block:
+    """Members of one bucket that meet: rows of (cid, label, sketch, n, side, bands)."""
 
-    Of two components, the FIRST pairs of fewest flips, and the others if their flips are surely those of near texts.
-    """
-    sure = most_flips(percent, SURE)
-
-    def pairs_of(rows: list, key: int) -> list[tuple]:
-        n = len(rows)
-        label: dict[bytes, int] = {}
-        lab = np.array([label.setdefault(r[1], len(label)) for r in rows])
-        if len(label) == 1:
-            return []
-        side = np.array([r[4] for r in rows])
-        bits = np.array([r[2] for r in rows], dtype=np.int64).view(np.uint64)
-        size = np.array([r[3] for r in rows])
-        bands = np.array([r[5] for r in rows], dtype=np.int64)
+    def __init__(self, rows: list, key: int, most: int, percent: int):
+        self.most, self.percent = most, percent
+        names: dict[bytes, int] = {}
+        self.label = np.array([names.setdefault(r[1], len(names)) for r in rows])
+        self.labels = len(names)
+        self.bits = np.array([r[2] for r in rows], dtype=np.int64).view(np.uint64)
+        self.size = np.array([r[3] for r in rows])
+        self.side = np.array([r[4] for r in rows])
+        self.bands = np.array([r[5] for r in rows], dtype=np.int64)
         # a pair counts in the first band that it shares
-        band = int(np.flatnonzero(bands[0] == key)[0])
-        found = []
-        for i in range(n):
-            # blocks of one bucket meet across, a block by itself once
-            other = np.arange(i + 1, n)
-            other = other[(lab[other] != lab[i]) & ((side[other] != side[i]) | (side[i] == 2))]
-            if len(other):
-                other = other[np.minimum(size[other], size[i]) * 100 >= (percent - 1) * np.maximum(size[other], size[i])]
-            if len(other):
-                other = other[~(bands[other, :band] == bands[i, :band]).any(axis=1)]
-            if len(other):
-                flips = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1)
-                found += [(lab[i], lab[j], int(f), i, j) for j, f in zip(other[flips <= most].tolist(), flips[flips <= most].tolist(), strict=True)]
-        found.sort(key=lambda x: (min(x[:2]), max(x[:2]), x[2]))
-        out, last, rank = [], None, 0
-        for one, two, f, i, j in found:
-            pair = (min(one, two), max(one, two))
-            rank = rank + 1 if pair == last else 1
-            last = pair
-            if rank <= FIRST or f <= sure:
-                out.append((*sorted((rows[i][0], rows[j][0])), *sorted((rows[i][1], rows[j][1])), f))
-        return out
+        self.band = int(np.flatnonzero(self.bands[0] == key)[0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+    def partners(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Later members of other components whose size and sketch are near member i's, and their flips."""
+        # blocks of one bucket meet across, a block by itself once
+        other = np.arange(i + 1, len(self.label))
+        other = other[(self.label[other] != self.label[i]) & ((self.side[other] != self.side[i]) | (self.side[i] == 2))]
+        other = other[np.minimum(self.size[other], self.size[i]) * 100 >= (self.percent - 1) * np.maximum(self.size[other], self.size[i])]
+        other = other[~(self.bands[other, : self.band] == self.bands[i, : self.band]).any(axis=1)]
+        flips = np.bitwise_count(self.bits[other] ^ self.bits[i]).sum(axis=1)
+        return other[flips <= self.most], flips[flips <= self.most]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list]]:
+    """(key, rows) of each group; the rows of a group come together."""
+    key, rows = None, []
+    for batch in batches:
+        cols = [batch.column(c).to_pylist() for c in (*keys, *columns)]
+        for row in zip(*cols, strict=True):
+            if row[: len(keys)] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[: len(keys)], []
+            rows.append(row[len(keys) :])
+    if rows:
+        yield key, rows
+
+
+_MEMBER = ("cid", "label", "sketch", "n", "side", "bands")
 
-        def flush():
-            found = pairs_of(rows, key[0]) if len(rows) > 1 else []
+
+def _cross_pairs(most: int, percent: int):
+    """Near pairs across components within each (key, p), rows of which come together: the NEAREST partners of each
+    member, of other components each if it has more than that; ``more`` says that it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, p), rows in _groups(batches, ("key", "p"), _MEMBER):
+            block = _Block(rows, key, most, percent)
+            found = []
+            for i in range(len(rows) if block.labels > 1 else 0):
+                other, flips = block.partners(i)
+                more = len(other) > NEAREST
+                if more:
+                    order = np.argsort(flips, kind="stable")
+                    _, first = np.unique(block.label[other[order]], return_index=True)
+                    chosen = order[np.sort(first)[:NEAREST]]
+                    other, flips = other[chosen], flips[chosen]
+                for j, f in zip(other.tolist(), flips.tolist(), strict=True):
+                    found.append((*sorted((rows[i][0], rows[j][0])), *sorted((rows[i][1], rows[j][1])), f, key, p, more))
             for at in range(0, len(found), 10000):
-                a, b, la, lb, flips = zip(*found[at : at + 10000], strict=True)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.binary()) for x in (a, b, la, lb)), pa.array(flips, pa.int32())], names=["a", "b", "la", "lb", "flips"])
-
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("key", "p", "cid", "label", "sketch", "n", "side", "bands")]
-            for k, p, *row in zip(*cols, strict=True):
-                if (k, p) != key:
-                    yield from flush()
-                    key, rows = (k, p), []
-                rows.append(row)
-        yield from flush()
+                a, b, la, lb, flips, keys, ps, more = zip(*found[at : at + 10000], strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x, pa.binary()) for x in (a, b, la, lb)), pa.array(flips, pa.int32()), pa.array(keys, pa.int64()), pa.array(ps, pa.int32()), pa.array(more)],
+                    names=["a", "b", "la", "lb", "flips", "key", "p", "more"],
+                )
+
+    return run
+
+
+def _cross_members(most: int, percent: int):
+    """Members of each (key, p) with a near partner in another component, dealt in parts of PART shingles: a row for each
+    two parts, lo and hi, in which a member has a partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, p), rows in _groups(batches, ("key", "p"), _MEMBER):
+            block = _Block(rows, key, most, percent)
+            if block.labels < 2:
+                continue
+            part = (np.cumsum(block.size) - block.size) // PART
+            meets = np.zeros((len(rows), int(part[-1]) + 1), dtype=bool)
+            for i in range(len(rows)):
+                other, _ = block.partners(i)
+                meets[i, part[other]] = True
+                meets[other, part[i]] = True
+            member, partner = np.nonzero(meets)
+            for at in range(0, len(member), 1000):
+                i, c = member[at : at + 1000], partner[at : at + 1000]
+                own = part[i]
+                cid, label, sketch, n, side, bands = zip(*(rows[x] for x in i), strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.array(np.full(len(i), x), kind) for x, kind in ((key, pa.int64()), (p, pa.int32()))),
+                        *(pa.array(x, pa.int32()) for x in (np.minimum(own, c), np.maximum(own, c), own)),
+                        *(pa.array(x, pa.binary()) for x in (cid, label)),
+                        pa.array(sketch, pa.list_(pa.int64())),
+                        pa.array(n, pa.int64()),
+                        pa.array(side, pa.int32()),
+                        pa.array(bands, pa.list_(pa.int64())),
+                    ],
+                    names=["key", "p", "lo", "hi", "part", *_MEMBER],
+                )
 
     return run
 
 
+def _cross_links(most: int, percent: int):
+    """Links (a, b) that join components of each (key, p, lo, hi), confirmed on the full sets of its members' texts; at
+    most one less than its components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, _, lo, hi), rows in _groups(_with_sets(batches), ("key", "p", "lo", "hi"), (*_MEMBER, "part", "set")):
+            block = _Block(rows, key, most, percent)
+            sets = [np.frombuffer(r[7], dtype=np.uint64) for r in rows]
+            start = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+            values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            part = np.array([r[6] for r in rows])
+            root = np.arange(block.labels)  # of each label
+            mine = np.zeros(len(values), dtype=bool)
+            links = []
+            for i in range(len(rows)):
+                other, _ = block.partners(i)
+                other = other[(lo == hi) | (part[other] != part[i])]
+                other = other[root[block.label[other]] != root[block.label[i]]]
+                if not len(other):
+                    continue
+                size = np.diff(start)[other]
+                at = np.concatenate(([0], np.cumsum(size)))
+                span = np.repeat(start[other] - at[:-1], size) + np.arange(at[-1])
+                own = flat[start[i] : start[i + 1]]
+                mine[own] = True
+                shared = np.add.reduceat(mine[flat[span]].astype(np.int64), at[:-1])
+                mine[own] = False
+                for j in other[100 * shared >= percent * (len(own) + size - shared)].tolist():
+                    one, two = root[block.label[i]], root[block.label[j]]
+                    if one != two:
+                        root[root == two] = one
+                        links.append((rows[i][0], rows[j][0]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*links, strict=True)], names=["a", "b"])
+
+    return run
+
+
+def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with the sorted shingle set of each text (bytes of 64-bit hashes) in its place."""
+    for big in batches:
+        for at in range(0, len(big), 500):
+            batch = big.slice(at, 500)
+            words, _, first = word_hashes(batch.column("text"))
+            values, start = distinct(*shingle_hashes(words, first, K))
+            sets = pa.array([values[start[i] : start[i + 1]].tobytes() for i in range(len(batch))], pa.large_binary())
+            kept = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), sets], names=[*kept, "set"])
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the similarity on their full sets."""
     one = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
@@ -281,11 +381,11 @@ def _grouped(docs: DataFrame, percent: int, *extra: str) -> DataFrame:
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("cid"), blocks).cast("int")
     meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct((F.least(own, j) * blocks + F.greatest(own, j)).alias("p"), F.when(own == j, 2).when(own < j, 0).otherwise(1).alias("side")))
-    dealt = mixed.withColumn("meet", F.explode(meets)).select("key", F.col("meet.p").alias("p"), "cid", "label", "sketch", "n", F.col("meet.side").alias("side"), "bands")
-    dealt = dealt.repartition("key", "p").sortWithinPartitions("key", "p", "cid")
-    crossing = stage(dealt.mapInArrow(_cross_pairs(most, percent), "a binary, b binary, la binary, lb binary, flips int").distinct(), "near-crossing")
+    dealt = mixed.withColumn("meet", F.explode(meets)).select("key", F.col("meet.p").alias("p"), "cid", "label", "sketch", F.col("n").cast("long").alias("n"), F.col("meet.side").alias("side"), "bands")
+    grouped = dealt.repartition("key", "p").sortWithinPartitions("key", "p", "cid")
+    named = stage(grouped.mapInArrow(_cross_pairs(most, percent), "a binary, b binary, la binary, lb binary, flips int, key long, p int, more boolean"), "near-crossing")
     tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crossing = stage(crossing.join(tried, ["a", "b"], "left_anti"), "near-crossing")
+    crossing = stage(named.drop("key", "p", "more").join(tried, ["a", "b"], "left_anti"), "near-crossing")
     # of two components first the best pair, then the others of those that it leaves apart
     best = crossing.groupBy("la", "lb").agg(F.min(F.struct("flips", "a", "b")).alias("top"))
     best = stage(best.select("la", "lb", "top.a", "top.b"), "near-best")
@@ -297,6 +397,19 @@ def _grouped(docs: DataFrame, percent: int, *extra: str) -> DataFrame:
     rest = stage(_linked(rest, _texts_of(docs, classes, rest), percent), "near-links")
     joined = stage(components(joined.toDF("a", "b").union(more).union(rest)), "near-components")
 
+    # blocks with members that have more partners than they named: their full sets meet
+    open_ = stage(named.where("more").select("key", "p").distinct(), "near-open")
+    if not open_.isEmpty():
+        again = dealt.join(open_, ["key", "p"]).drop("label").join(joined.withColumnRenamed("node", "cid"), "cid", "left")
+        again = again.select("key", "p", "cid", F.coalesce("component", "cid").alias("label"), "sketch", "n", "side", "bands")
+        again = again.repartition("key", "p").sortWithinPartitions("key", "p", "cid")
+        kinds = "key long, p int, lo int, hi int, part int, cid binary, label binary, sketch array<long>, n long, side int, bands array<long>"
+        members = stage(again.mapInArrow(_cross_members(most, percent), kinds), "near-members")
+        texts = _texts_of(docs, classes, members.select(F.col("cid").alias("a"), F.col("cid").alias("b")))
+        met = members.join(texts, "cid").repartition("key", "p", "lo", "hi").sortWithinPartitions("key", "p", "lo", "hi", "cid")
+        last = stage(met.mapInArrow(_cross_links(most, percent), "a binary, b binary"), "near-links")
+        joined = stage(components(joined.toDF("a", "b").union(last)), "near-components")
+
     final = classes.join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least", F.coalesce("component", "cid").alias("label"))
     smallest = stage(final.groupBy("label").agg(F.min("least").alias("smallest")), "near-smallest")
     label = ["label"] if extra else []

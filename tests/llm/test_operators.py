@@ -463,6 +463,43 @@ def test_cross_pairs_of_sizes_at_the_threshold():
     assert not [x for x in near_dedup._cross_pairs(10, 85)([batch]) if len(x)]
 
 
+def test_members_with_many_near_partners_are_linked_exactly(spark):
+    base = [f"w{i}" for i in range(120)]
+    # two neighbouring words differ: 104 of 128 shingles shared, more where the places overlap
+    places = random.Random(4).choices((8, 10, 12, 20, 21, 40, 45, 60, 63, 66, 90, 105), k=60)
+    rows = [(i, " ".join(f"n{i}{k}" if k in (at, at + 1) else w for k, w in enumerate(base))) for i, at in enumerate(places)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()), key=str)
+    assert got == _near(rows)
+    assert 5 <= len({c for _, _, c in got}) < 12
+
+
+def test_output_of_a_bucket_grows_with_its_members():
+    n = 1500
+    names = ("key", "p", "cid", "label", "sketch", "n", "side", "bands")
+    rows = [(7, 0, i.to_bytes(4), i.to_bytes(4), [i % 16], 100, 2, [7]) for i in range(n)]
+    batch = pa.RecordBatch.from_pydict({k: [r[i] for r in rows] for i, k in enumerate(names)})
+    named = [r for x in near_dedup._cross_pairs(10, 85)([batch]) for r in x.to_pylist()]
+    assert n < len(named) <= near_dedup.NEAREST * n
+    assert {r["more"] for r in named} == {True, False}
+    members = [r for x in near_dedup._cross_members(10, 85)([batch]) for r in x.to_pylist()]
+    assert len(members) == n
+
+
+def test_parts_of_long_texts_meet_once():
+    names = ("key", "p", "cid", "label", "sketch", "n", "side", "bands")
+    size = near_dedup.PART
+    rows = [(7, 0, bytes([i]), bytes([i]), [0], size, 2, [7]) for i in range(3)]
+    batch = pa.RecordBatch.from_pydict({k: [r[i] for r in rows] for i, k in enumerate(names)})
+    members = [r for x in near_dedup._cross_members(10, 85)([batch]) for r in x.to_pylist()]
+    assert sorted((r["lo"], r["hi"], r["cid"][0]) for r in members) == [(0, 1, 0), (0, 1, 1), (0, 2, 0), (0, 2, 2), (1, 2, 1), (1, 2, 2)]
+    text = " ".join(f"w{i}" for i in range(40))
+    for r in members:
+        r["text"] = text
+    links = near_dedup._cross_links(10, 85)([pa.RecordBatch.from_pylist(sorted(members, key=lambda r: (r["lo"], r["hi"], r["cid"])))])
+    assert sorted((r["a"][0], r["b"][0]) for x in links for r in x.to_pylist()) == [(0, 1), (0, 2), (1, 2)]
+
+
 def test_pipeline_keeps_one_row_of_each_group(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")

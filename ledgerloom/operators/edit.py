@@ -12,7 +12,7 @@ from ..functions.expressions import Compiler, attach_parents, compile_expression
 from ..plans.schema import ForeignKey, Schema, Table, table_order
 from .consistency import child_aggregate, recompute_derived
 from .generate import Recipe, column_order, conform, uniform, value
-from .unique import suffix_unique
+from .unique import cut, suffix_unique
 from .validate import Report, validate
 
 
@@ -139,6 +139,19 @@ def delete_rows(schema: Schema, tables: dict[str, DataFrame], table: str, hits:
     return out, removed
 
 
+def _derived_columns(t: Table, plan: dict[str, Recipe], of_aggregates: bool) -> dict[str, str]:
+    """Expressions of the derived columns of a plan in order; or only of those that need an aggregate of their row."""
+    made = {n for n, r in plan.items() if r.kind == "aggregate"}
+    todo: dict[str, str] = {}
+    for c in column_order(t, {n: plan.get(n, Recipe("constant", {"value": None})) for n in t.names}):
+        if c.name in plan and plan[c.name].kind == "derived":
+            compiled = compile_expression(plan[c.name].args["expression"])
+            needs = {t.column(x).name for x in compiled.dependencies if t.has(x)} & (made | (set(todo) if of_aggregates else set()))
+            if not compiled.uses_random and (needs or not of_aggregates):
+                todo[c.name] = compiled.source
+    return todo
+
+
 def refresh(schema: Schema, tables: dict[str, DataFrame], plans: dict[str, dict[str, Recipe]]) -> dict[str, DataFrame]:
     """tables with the derived columns and the aggregates of children of their plans computed again.
 
@@ -149,15 +162,7 @@ def refresh(schema: Schema, tables: dict[str, DataFrame], plans: dict[str, dict[
     names = [n for n in table_order(schema).tables if n in plans]
 
     def derived(name: str, of_aggregates: bool) -> None:
-        t, own = schema.table(name), plans[name]
-        made = {n for n, r in own.items() if r.kind == "aggregate"}
-        todo: dict[str, str] = {}
-        for c in column_order(t, {n: own.get(n, Recipe("constant", {"value": None})) for n in t.names}):
-            if c.name in own and own[c.name].kind == "derived":
-                compiled = compile_expression(own[c.name].args["expression"])
-                needs = {t.column(x).name for x in compiled.dependencies if t.has(x)} & (made | (set(todo) if of_aggregates else set()))
-                if not compiled.uses_random and (needs or not of_aggregates):
-                    todo[c.name] = compiled.source
+        t, todo = schema.table(name), _derived_columns(schema.table(name), plans[name], of_aggregates)
         if todo:
             out[name] = recompute_derived(out[name], todo, _parents(schema, out, t))
 
@@ -176,22 +181,125 @@ def refresh(schema: Schema, tables: dict[str, DataFrame], plans: dict[str, dict[
     return out
 
 
-def apply(schema: Schema, tables: dict[str, DataFrame], table: str, ops: list[Op], plan: dict[str, Recipe] | None = None, seed: int = 0, plans: dict[str, dict[str, Recipe]] | None = None) -> tuple[dict[str, DataFrame], Report]:
+class Touched:
+    """Rows that an edit changes, old and new versions, by table: their keys and foreign keys; None is a whole table.
+
+    The keys are checkpointed, so that plans don't grow with the number of tables they pass.
+    """
+
+    def __init__(self, schema: Schema):
+        self.schema, self.rows = schema, {}
+
+    def add(self, name: str, rows: DataFrame | None) -> None:
+        t = self.schema.table(name)
+        if rows is None or not t.primary_key or self.rows.get(name, rows) is None:
+            self.rows[name] = None
+            return
+        referred = [p for _, fk in self.schema.references_to(name) for p in fk.parent_columns]
+        kept = list(dict.fromkeys([*t.primary_key, *(c for fk in t.foreign_keys for c in fk.columns), *referred]))
+        rows = rows.select(*kept)
+        if name in self.rows:
+            rows = rows.union(self.rows[name].select(*kept))
+        self.rows[name] = cut(rows.distinct())
+
+    def keys(self, name: str, columns: list[str], names: list[str]) -> DataFrame | None:
+        """Distinct values of columns of the touched rows of a table; None if the whole table is touched."""
+        rows = self.rows[name]
+        return None if rows is None else rows.select(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)]).distinct()
+
+
+def refresh_touched(schema: Schema, tables: dict[str, DataFrame], plans: dict[str, dict[str, Recipe]], touched: Touched) -> dict[str, DataFrame]:
+    """As refresh, for tables that held their plans' relations before the edit: only touched rows, children whose
+    expressions look at a touched parent, and parents of touched children are computed again.
+
+    Rows to compute come by a semi join on their keys, the others stay as they are, as do tables without such rows.
+    Tables without a primary key are computed whole. Rows with a null key stay.
+    """
+    out = dict(tables)
+    names = [n for n in table_order(schema).tables if n in plans]
+
+    def renew(name: str, keys: list[DataFrame | None], compute) -> None:
+        if not keys:
+            return
+        key = list(schema.table(name).primary_key)
+        if not key or any(k is None for k in keys):
+            out[name] = compute(out[name], None)
+            touched.add(name, None)
+            return
+        wanted = keys[0]
+        for k in keys[1:]:
+            wanted = wanted.union(k)
+        wanted = cut(wanted.distinct())
+        columns = out[name].columns
+        done = compute(out[name].join(wanted, key, "left_semi"), wanted).select(*columns)
+        touched.add(name, done)
+        out[name] = done.unionByName(out[name].join(wanted, key, "left_anti").select(*columns))
+
+    def derived(name: str, of_aggregates: bool) -> None:
+        t, todo = schema.table(name), _derived_columns(schema.table(name), plans[name], of_aggregates)
+        if not todo:
+            return
+        key, keys = list(t.primary_key), []
+        if name in touched.rows:
+            keys.append(touched.keys(name, key, key))
+        looks_at = {t.column(via).name for e in todo.values() for via, _ in compile_expression(e).parent_refs}
+        for fk in t.foreign_keys:
+            if len(fk.columns) == 1 and fk.columns[0] in looks_at and fk.parent in touched.rows:
+                changed = touched.keys(fk.parent, list(fk.parent_columns), list(fk.columns))
+                keys.append(None if changed is None else out[name].join(changed, list(fk.columns), "left_semi").select(*key))
+        renew(name, keys, lambda rows, _: recompute_derived(rows, todo, _parents(schema, out, t)))
+
+    for name in names:
+        derived(name, False)
+    for name in reversed(names):
+        t = schema.table(name)
+        for c in t.columns:
+            r = plans[name].get(c.name)
+            if r is None or r.kind != "aggregate":
+                continue
+            a, key = r.args, t.primary_key[0]
+            keys = [touched.keys(x, [y], [key]) for x, y in ((a["child"], a["fk"]), (name, key)) if x in touched.rows]
+
+            def total(rows: DataFrame, wanted: DataFrame | None, a=a, key=key, c=c) -> DataFrame:
+                children = out[a["child"]]
+                if wanted is not None:
+                    children = children.join(wanted.withColumnRenamed(key, a["fk"]), a["fk"], "left_semi")
+                wide = child_aggregate(rows, key, children, a["fk"], a["column"], a["agg"], a.get("default", 0), "__agg")
+                return wide.withColumn(c.name, conform(F.col("__agg"), c)).select(*rows.columns)
+
+            renew(name, keys, total)
+    for name in names:
+        derived(name, True)
+    return out
+
+
+def apply(schema: Schema, tables: dict[str, DataFrame], table: str, ops: list[Op], plan: dict[str, Recipe] | None = None, seed: int = 0, plans: dict[str, dict[str, Recipe]] | None = None, delta: bool = False) -> tuple[dict[str, DataFrame], Report]:
     """New tables and their validation. With the plans of the tables, their derived columns and aggregates follow the
-    edit (refresh), new rows and those of other tables included; without, they keep their values."""
+    edit (refresh), new rows and those of other tables included; without, they keep their values. With delta, only what
+    the edit touches is computed again (refresh_touched): for tables that held their plans' relations before."""
     check_ops(schema, table, ops)
     t = schema.table(table)
     out = dict(tables)
+    touched = Touched(schema)
+    follow = bool(plans) and delta
     for k, o in enumerate(ops):
         a, own = o.args, seed * 1000 + k
         df = out[t.name]
         row = F.col(t.primary_key[0]) if t.primary_key else F.xxhash64(*df.columns)
         if o.op == "add_rows":
             out[t.name] = add_rows(df, t, a["count"], {**((plans or {}).get(t.name, {})), **(plan or {}), **a.get("recipes", {})}, own, out)
+            if follow:
+                touched.add(t.name, out[t.name].join(df, t.primary_key[0], "left_anti") if len(t.primary_key) == 1 else None)
             continue
         hit = with_condition(df, a.get("where"), schema, out, t)
         if o.op == "delete_rows":
-            out, _ = delete_rows(schema, out, t.name, hit.where("__hit").drop("__hit"), a.get("cascade", True))
+            before = out
+            out, removed = delete_rows(schema, out, t.name, hit.where("__hit").drop("__hit"), a.get("cascade", True))
+            for name in out if follow else ():
+                if name in removed:
+                    touched.add(name, removed[name])
+                elif out[name] is not before[name]:  # lost a foreign key
+                    touched.add(name, None)
             continue
         c = t.column(a["column"])
         if o.op == "update_pool":
@@ -200,10 +308,13 @@ def apply(schema: Schema, tables: dict[str, DataFrame], table: str, ops: list[Op
             recipe = a.get("recipe")
             new = value(recipe, own, t.name, c, row) if recipe is not None else F.lit(a.get("value"))
             done = set_values(hit, F.col("__hit"), c.name, conform(new, c))
+        unique = any(u == (c.name,) for u in t.keys)
+        if follow:  # suffixes may meet any row
+            touched.add(t.name, None if unique else hit.where("__hit").drop("__hit").unionByName(done.where("__hit").drop("__hit")))
         done = done.drop("__hit")
-        if any(u == (c.name,) for u in t.keys):
+        if unique:
             done = suffix_unique(done, c.name, t.primary_key[0], c.max_length)
         out[t.name] = done
     if plans:
-        out = refresh(schema, out, plans)
+        out = refresh_touched(schema, out, plans, touched) if delta else refresh(schema, out, plans)
     return out, validate(schema, out)

@@ -86,7 +86,7 @@ def constant_fault(c: Column, value) -> str | None:
             dt.date.fromisoformat(text[:10])
         elif c.type == "DATETIME":
             dt.datetime.fromisoformat(text)
-        elif c.type == "BOOLEAN" and text.lower() not in ("true", "false", "t", "f", "yes", "no", "1", "0"):
+        elif c.type == "BOOLEAN" and text.lower() not in ("true", "false", "t", "f", "yes", "no", "y", "n", "1", "0"):
             return f"{value!r} is no boolean"
     except ValueError:
         return f"{value!r} is no {c.type}"

@@ -69,7 +69,7 @@ def column_rules(df: DataFrame, c: Column) -> dict[str, Col]:
     elif is_text and c.type in ("DECIMAL", "FLOAT"):
         wrong = x.isNotNull() & x.try_cast("double").isNull()
     elif is_text and c.type == "BOOLEAN":
-        wrong = x.isNotNull() & ~F.lower(F.trim(x)).isin("true", "false", "t", "f", "1", "0")
+        wrong = x.isNotNull() & ~F.lower(F.trim(x)).isin("true", "false", "t", "f", "1", "0", "yes", "no", "y", "n")
     elif is_text and c.type in TEMPORAL:
         wrong = x.isNotNull() & (F.try_to_date(x) if c.type == "DATE" else F.try_to_timestamp(x)).isNull()
     if is_text and c.type in (*INTEGERS, "DECIMAL", "FLOAT", "BOOLEAN"):

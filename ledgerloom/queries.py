@@ -377,6 +377,22 @@ def edit_apply_refreshes_totals(spark, d):
     return after["orders"].select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
 
 
+@query("SELECT o_orderkey, CAST(coalesce(q, 0) AS DOUBLE) AS o_totalprice, CAST(coalesce(q, 0) AS DOUBLE) * 2 AS o_twice FROM (SELECT o_orderkey, (SELECT sum(CASE WHEN l_quantity > 49 AND l_linenumber = 1 THEN 1 WHEN l_quantity < 2 AND l_linenumber = 2 THEN 60 ELSE l_quantity END) FROM lineitem WHERE l_orderkey = o_orderkey) AS q FROM orders)")
+def edit_apply_touched_totals(spark, d):
+    """Edits of some line items; only totals of their orders are computed again, from tables whose totals were right."""
+    t = load(spark, d)
+    schema = parse_ddl(
+        "CREATE TABLE orders (o_orderkey BIGINT PRIMARY KEY, o_totalprice DOUBLE PRECISION, o_twice DOUBLE PRECISION);"
+        "CREATE TABLE lineitem (l_orderkey BIGINT NOT NULL REFERENCES orders, l_linenumber INT NOT NULL, l_quantity DOUBLE PRECISION, PRIMARY KEY (l_orderkey, l_linenumber))"
+    )
+    data = {"orders": t["orders"].select("o_orderkey", "o_totalprice", F.col("o_totalprice").alias("o_twice")), "lineitem": t["lineitem"].select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("l_quantity"))}
+    total = generate.Recipe("aggregate", {"child": "lineitem", "fk": "l_orderkey", "column": "l_quantity", "agg": "sum"})
+    plans = {"orders": {"o_totalprice": total, "o_twice": generate.Recipe("derived", {"expression": "o_totalprice * 2"})}}
+    ops = [edit.Op("set_values", {"column": "l_quantity", "value": 1, "where": "l_quantity > 49 and l_linenumber == 1"}), edit.Op("set_values", {"column": "l_quantity", "value": 60, "where": "l_quantity < 2 and l_linenumber == 2"})]
+    after, _ = edit.apply(schema, edit.refresh(schema, data, plans), "lineitem", ops, plans=plans, delta=True)
+    return after["orders"].select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"), F.col("o_twice").cast("double").alias("o_twice"))
+
+
 _GEN = Column("v", "INTEGER")
 _GENERATED = {
     "gen_int_range": (generate.Recipe("int_range", {"lo": 10, "hi": 99}), _GEN, "CAST(10 + floor(u * 90) AS INTEGER)"),

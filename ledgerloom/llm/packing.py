@@ -96,4 +96,6 @@ def pack(sized: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS, budge
 
 
 def pack_documents(docs: DataFrame, **how) -> DataFrame:
+    """The segments of pack for a table with doc_id and text; sizes are words, other columns, clashing names too, don't
+    matter. Null texts and texts without words have no segment."""
     return pack(docs.select("doc_id", n_words(F.col("text")).alias("size")), **how)

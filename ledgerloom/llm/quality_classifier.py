@@ -195,12 +195,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorMachi
     """A model of labels (doc_id, quality) from at most ``sample`` labelled rows outside the held-out fold.
 
     The rows are those with the smallest random keys; they join their texts, and only they are turned into features.
-    Null labels, ids and labels other than 0 and 1 aren't learnt from; a document labelled twice is two rows.
+    Null labels, ids and labels other than 0 and 1 aren't learnt from; a document labelled twice is two rows. Of several
+    texts of one id that with the least hash is learnt from, so that no more than ``sample`` rows reach the driver.
     """
     ship(docs.sparkSession)
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality")).orderBy(hash_key(SEED, F.col("_id")), "_id", "quality").limit(sample)
-    rows = _sized(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "quality", "text", "n_chars")
+    chosen = chosen.withColumn("_label", F.monotonically_increasing_id())
+    rows = _sized(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "_label", "quality", "text", "n_chars")
+    one = F.min(F.struct(F.xxhash64("text", "n_chars").alias("hash"), "text", "n_chars")).alias("one")
+    rows = rows.groupBy("doc_id", "_label", "quality").agg(one).select("doc_id", "quality", "one.text", "one.n_chars")
     got = rows.mapInArrow(_featurise, "doc_id long, quality int, index binary, value binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["quality"], r["index"], r["value"]))
     index = np.frombuffer(b"".join(r["index"] for r in got), dtype=np.int32)

@@ -180,6 +180,9 @@ def test_classifier(spark, empty):
     assert held and all(got[i]["held_out"] for i in held) and sum(got[i]["predicted"] == 1 - i % 2 for i in held) >= 0.95 * len(held)
     assert all(0 <= r["score"] <= 1 for r in got.values()) and not got[None]["held_out"]
     assert quality_classifier.score(empty, model).count() == 0
+    # repeated rows of an id are one row to learn from
+    again = quality_classifier.fit(docs.union(docs).union(docs), labels, sample=200)
+    assert again.w0 == model.w0 and (again.w == model.w).all() and (again.v == model.v).all()
     # the identity equals the sum over pairs
     index, value, at = np.array([3, 9, 40]), np.array([0.5, 1.0, -2.0], dtype=np.float32), np.array([0, 3])
     pairs = sum(float(model.v[index[i]] @ model.v[index[j]]) * value[i] * value[j] for i in range(3) for j in range(i))

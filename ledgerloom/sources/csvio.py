@@ -52,14 +52,23 @@ def write_csv(df: DataFrame, path: str, names: list[str] | None = None) -> None:
     lines.select(F.when(row == 0, F.concat(F.lit(top + "\n"), F.col("line"))).otherwise(F.col("line")).alias("line")).write.text(path)
 
 
+def flag(text: Col) -> Col:
+    """A boolean from true, t, 1, yes, y or false, f, 0, no, n in any case; blank is null, any other text fails."""
+    word = F.lower(F.trim(text))
+    bad = F.raise_error(F.concat(F.lit("no boolean: "), text)).cast("boolean")
+    return F.when(word.isin("true", "t", "1", "yes", "y"), True).when(word.isin("false", "f", "0", "no", "n"), False).when(F.length(word) > 0, bad)
+
+
 def read_csv(spark: SparkSession, path: str, table: Table) -> DataFrame:
     """A typed table. The header must have the table's columns in order, in any case; a bad value or row fails."""
     first = spark.read.option("multiLine", True).option("escape", '"').option("header", False).csv(path).limit(1).collect()
     found = [x or "" for x in first[0]] if first else []
     if [x.lower() for x in found] != [n.lower() for n in table.names]:
         raise CsvFormatError(f"header {found} isn't {table.names}")
-    read = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in table.struct().fields]))
-    return read.options(header=True, enforceSchema=True, mode="FAILFAST", multiLine=True, escape='"', nullValue="", emptyValue="").csv(path)
+    flags = [f.name for f in table.struct().fields if isinstance(f.dataType, T.BooleanType)]  # Spark's reader knows true and false only
+    read = spark.read.schema(T.StructType([T.StructField(f.name, T.StringType() if f.name in flags else f.dataType) for f in table.struct().fields]))
+    rows = read.options(header=True, enforceSchema=True, mode="FAILFAST", multiLine=True, escape='"', nullValue="", emptyValue="").csv(path)
+    return rows.withColumns({name: flag(F.col(name)) for name in flags})
 
 
 def write_zip(tables: dict[str, DataFrame], schema: Schema, ddl: str, manifest: dict, path: str) -> None:

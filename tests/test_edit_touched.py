@@ -3,8 +3,9 @@
 import pytest
 
 from ledgerloom.operators import edit
-from ledgerloom.operators.generate import Recipe
+from ledgerloom.operators.generate import Recipe, conform
 from ledgerloom.plans.schema import parse_ddl
+from ledgerloom.sources.csvio import read_csv
 
 DDL = """
 CREATE TABLE clubs (id INT PRIMARY KEY, members INT, dues DOUBLE PRECISION, doubled DOUBLE PRECISION);
@@ -63,3 +64,16 @@ def test_only_touched_parents_are_computed(world):
     paid = {r["id"]: r["paid"] for r in out["people"].collect()}
     assert paid[2] < 1000 and all(v >= 1000 for i, v in paid.items() if i != 2)
     assert "LeftSemi" in out["people"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_boolean_texts_are_read(spark, tmp_path):
+    table = parse_ddl("CREATE TABLE flags (id INT PRIMARY KEY, on_ BOOLEAN)").table("flags")
+    texts = ["true", "T", "1", "yes", "Y", "false", "f", "0", "No", "n", ""]
+    (tmp_path / "flags.csv").write_text("id,on_\n" + "".join(f"{i},{x}\n" for i, x in enumerate(texts)))
+    got = [r["on_"] for r in read_csv(spark, str(tmp_path / "flags.csv"), table).orderBy("id").collect()]
+    assert got == [True] * 5 + [False] * 5 + [None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, on_ string").orderBy("id")
+    assert [r[0] for r in rows.where("on_ <> ''").select(conform(rows["on_"], table.column("on_"))).collect()] == got[:-1]
+    (tmp_path / "bad.csv").write_text("id,on_\n1,maybe\n")
+    with pytest.raises(Exception, match="no boolean: maybe"):
+        read_csv(spark, str(tmp_path / "bad.csv"), table).collect()

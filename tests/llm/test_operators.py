@@ -526,3 +526,9 @@ def test_copies_of_short_and_unspaced_lines(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, short_copies=True).collect()}
     assert got == {1: rows[0][1], 2: "", 3: rows[2][1]}
+
+
+def test_long_lines_without_the_usual_first_letters_are_found(spark):
+    line = " ".join(f"w{i}x" for i in range(30))
+    docs = spark.createDataFrame([(1, line), (2, line.replace("w7x", "w7z"))], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()} == {1: line, 2: ""}

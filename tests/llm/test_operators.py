@@ -532,3 +532,15 @@ def test_long_lines_without_the_usual_first_letters_are_found(spark):
     line = " ".join(f"w{i}x" for i in range(30))
     docs = spark.createDataFrame([(1, line), (2, line.replace("w7x", "w7z"))], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()} == {1: line, 2: ""}
+
+
+@pytest.mark.parametrize("tile", [1024, 3])
+def test_pairs_of_large_blocks_are_all_compared(spark, monkeypatch, tile):
+    monkeypatch.setattr(line_dedup, "TILE", tile)
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("bcdfghklm") for _ in range(6)) for _ in range(12)) for _ in range(14)]
+    texts += [t[:-1] + "z" for t in texts[3:6]]  # near lines that share this block alone, none of which leads it
+    rows = [(f"g{i:02}".encode(), t, 2 if i == 0 else 1, len(t), [1]) for i, t in enumerate(texts)]
+    classes = spark.createDataFrame(rows, "gid binary, norm string, weight long, chars int, keys array<long>")
+    got = {bytes(r["node"]): bytes(r["component"]) for r in line_dedup.near_lines(classes.select("gid", "norm"), classes, Fraction(4, 5)).collect()}
+    assert {x: y for x, y in got.items() if x != y} == {f"g{14 + i}".encode(): f"g0{3 + i}".encode() for i in range(3)}

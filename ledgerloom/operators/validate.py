@@ -1,8 +1,8 @@
-"""Constraint validation: one scan of each table and one grouping for all rules, keys, foreign keys, CHECKs and row counts.
+"""Constraint validation: all rules, keys, foreign keys, CHECKs and row counts of a schema as one DataFrame.
 
-Each row gives its tagged facts: a rule that it breaks with the value, its keys, the keys that it refers to, and its own
-key for tables that refer to it. One grouping by (tag, fact) then holds repeated keys, keys without a parent, and how
-often each wrong value occurs. The single checks below it are for one table and one kind of rule.
+One pass over a table takes the values that break a rule; rows that break none leave nothing. Each key and foreign key
+reads its own columns alone and is grouped in their types; keys that are referred to are counted before they meet their
+parents. The single checks below it are for one table and one kind of rule.
 
 Issues are rows (table, column, rule, violations, examples). Input columns may be typed or text, as read from files; a
 typed column can't break the type rules.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column as Col
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -235,80 +236,102 @@ class _Tag:
 EXAMPLES = 5
 
 
-def _key(df: DataFrame, columns: tuple[str, ...], like: list[T.DataType] | None = None) -> Col:
-    """A key as texts, null if part of it is null; values in the type of the key that they refer to, where they fit."""
-    cols = [F.col(_actual(df, c)) for c in columns]
-    texts = [x.cast("string") if kind is None else F.coalesce(x.try_cast(kind).cast("string"), x.cast("string")) for x, kind in zip(cols, like or [None] * len(cols), strict=True)]
+#: Types whose values are grouped as they are; others as text.
+_PLAIN = (T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _key(df: DataFrame, column: str, like: T.DataType | None = None) -> Col:
+    """A key's column, in a form that equals that of the key of type ``like`` that it refers to: whole numbers as long,
+    values of one plain type as they are, others as text, in the other type where they fit."""
+    x, own = F.col(_actual(df, column)), df.schema[_actual(df, column)].dataType
+    like = own if like is None else like
+    if isinstance(own, T.IntegralType) and isinstance(like, T.IntegralType):
+        return x.cast("long")
+    if own == like and isinstance(own, _PLAIN):
+        return x
+    return F.coalesce(x.try_cast(like).cast("string"), x.cast("string"))
+
+
+def _keys(df: DataFrame, columns: tuple[str, ...], like: list[T.DataType] | None = None) -> DataFrame:
+    """(k0, k1, ...) of the rows whose key has no null."""
     whole = F.lit(True)
-    for x in cols:
-        whole &= x.isNotNull()
-    return F.when(whole, F.array(*texts))
+    for c in columns:
+        whole &= F.col(_actual(df, c)).isNotNull()
+    return df.where(whole).select(*[_key(df, c, kind).alias(f"k{i}") for i, (c, kind) in enumerate(zip(columns, like or [None] * len(columns), strict=True))])
 
 
-def _facts(schema: Schema, tables: dict[str, DataFrame], notes: list[str]) -> tuple[DataFrame | None, list[_Tag]]:
-    """Rows (tag, fact, n, parent) of all tables that have the schema's columns, and the tags."""
+def _wrong_keys(keys: DataFrame, tag: int, parents: DataFrame | None = None) -> DataFrame:
+    """(tag, fact, violations): keys that occur again, by rows beyond the first; or those without a parent, by rows."""
+    names = keys.columns
+    found = keys.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    found = found.where("n > 1").withColumn("n", F.col("n") - 1) if parents is None else found.join(parents, names, "left_anti")
+    return found.select(F.lit(tag).alias("tag"), F.array(*[F.col(c).cast("string") for c in names]).alias("fact"), F.col("n").alias("violations"))
+
+
+def _facts(schema: Schema, tables: dict[str, DataFrame], notes: list[str]) -> tuple[list[DataFrame], list[DataFrame], list[_Tag]]:
+    """Tables (tag, fact, violations) of what is wrong in all tables that have the schema's columns, tables (tag,
+    violations) of their rows, and the tags."""
     fits = {t.name: tables[t.name.lower()] for t in schema.tables if t.name.lower() in tables and {c.lower() for c in tables[t.name.lower()].columns} == {c.lower() for c in t.names}}
     tags: list[_Tag] = []
-    made: dict[str, list[Col]] = {name: [] for name in fits}
+    wrong: list[DataFrame] = []
+    counts: list[DataFrame] = []
 
-    def add(tag: _Tag, fact: Col, where: Col) -> int:
-        tags.append(tag)
-        made[tag.table].append(_fact(len(tags) - 1, fact, where, 0))
+    def add(*tag: str) -> int:
+        tags.append(_Tag(*tag))
         return len(tags) - 1
 
     for t in schema.tables:
         if (df := fits.get(t.name)) is None:
             continue
-        add(_Tag("rows", t.name, "", "rows"), F.array().cast("array<string>"), F.lit(True))
+        counts.append(df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(add("rows", t.name, "", "rows")).alias("tag"), "violations"))
+        broken: list[Col] = []
         for c in t.columns:
             shown = F.array(F.substring(F.col(_actual(df, c.name)).cast("string"), 1, 60))
             for rule, bad in column_rules(df, c).items():
-                add(_Tag("rule", t.name, c.name, rule), shown, bad)
+                broken.append(_fact(add("rule", t.name, c.name, rule), shown, bad))
         for key in t.keys:
-            fact = _key(df, key)
-            add(_Tag("key", t.name, ", ".join(key), "pk_duplicate" if key == t.primary_key else "unique"), fact, fact.isNotNull())
+            wrong.append(_wrong_keys(_keys(df, key), add("key", t.name, ", ".join(key), "pk_duplicate" if key == t.primary_key else "unique")))
         for fk in t.foreign_keys:
             if (parent := fits.get(fk.parent)) is None:
                 continue
-            kinds = [parent.schema[_actual(parent, p)].dataType for p in fk.parent_columns]
-            fact = _key(df, fk.columns, kinds)
-            at = add(_Tag("fk", t.name, ", ".join(fk.columns), "fk_dangling"), fact, fact.isNotNull())
-            own = _key(parent, fk.parent_columns, kinds)
-            made[schema.table(fk.parent).name].append(_fact(at, own, own.isNotNull(), 1))
+            own, kinds = ([x.schema[_actual(x, c)].dataType for c in columns] for x, columns in ((df, fk.columns), (parent, fk.parent_columns)))
+            at = add("fk", t.name, ", ".join(fk.columns), "fk_dangling")
+            # where the child's type is another, both sides are texts of the parent's
+            parents = _keys(parent, fk.parent_columns).toDF(*[f"k{i}" for i in range(len(kinds))])
+            child = _keys(df, fk.columns, kinds)
+            texts = [i for i, (x, y) in enumerate(zip(own, kinds, strict=True)) if child.schema[i].dataType != parents.schema[i].dataType or x != y]
+            wrong.append(_wrong_keys(child, at, parents.withColumns({f"k{i}": F.col(f"k{i}").cast(child.schema[i].dataType) for i in texts})))
         for check in t.checks:
             condition, names = check_condition(check, t)
             if condition is None:
                 notes.append(f"{t.name}: CHECK ({check}) isn't evaluated")
             else:
-                add(_Tag("rule", t.name, names, "check"), F.array().cast("array<string>"), check_failed(condition))
-    out = None
-    for name, facts in made.items():
-        one = fits[name].select(F.explode(F.array_compact(F.array(*facts))).alias("f")).select("f.*")
-        out = one if out is None else out.unionByName(one)
-    return out, tags
+                broken.append(_fact(add("rule", t.name, names, "check"), F.array().cast("array<string>"), check_failed(condition)))
+        if broken:
+            rows = df.select(F.explode(F.array_compact(F.array(*broken))).alias("f")).select("f.*")
+            wrong.append(rows.groupBy("tag", "fact").agg(F.count(F.lit(1)).alias("violations")))
+    return wrong, counts, tags
 
 
-def _fact(tag: int, fact: Col, where: Col, parent: int) -> Col:
-    return F.when(where, F.struct(F.lit(tag).alias("tag"), fact.alias("fact"), F.lit(1 - parent).cast("long").alias("n"), F.lit(parent).alias("parent")))
+def _fact(tag: int, fact: Col, where: Col) -> Col:
+    return F.when(where, F.struct(F.lit(tag).alias("tag"), fact.alias("fact")))
 
 
 def scan(schema: Schema, tables: dict[str, DataFrame], notes: list[str] | None = None) -> DataFrame | None:
     """(kind, table, column, rule, violations, examples) of every tag, zero ones too; of kind rows, violations are the rows."""
     tables = {k.lower(): v for k, v in tables.items()}
-    facts, tags = _facts(schema, tables, [] if notes is None else notes)
-    if facts is None:
+    parts, counts, tags = _facts(schema, tables, [] if notes is None else notes)
+    if not counts:
         return None
-    spark = facts.sparkSession
+    spark = counts[0].sparkSession
     # one row for each rule of the schema
     named = F.broadcast(spark.createDataFrame([(i, x.kind, x.table, x.column, x.rule) for i, x in enumerate(tags)], "tag int, kind string, table string, column string, rule string"))
-    grouped = facts.groupBy("tag", "fact").agg(F.sum("n").alias("n"), F.max("parent").alias("parent")).join(named.select("tag", "kind"), "tag")
-    found = F.when(F.col("kind") == "key", F.col("n") - 1).when(F.col("kind") == "fk", F.when(F.col("parent") == 0, F.col("n")).otherwise(0)).otherwise(F.col("n"))
-    wrong = grouped.select("tag", "kind", "fact", found.alias("violations")).where("violations > 0")
+    wrong = spark.createDataFrame([], "tag int, fact array<string>, violations long") if not parts else reduce(DataFrame.union, parts)
     place = F.row_number().over(Window.partitionBy("tag").orderBy("fact"))
-    shown = wrong.where((F.col("kind") != "rows") & (F.size("fact") > 0)).withColumn("place", place).where(F.col("place") <= EXAMPLES)
+    shown = wrong.withColumn("place", place).where(F.col("place") <= EXAMPLES)
     shown = shown.groupBy("tag").agg(F.transform(F.array_sort(F.collect_list("fact")), lambda x: F.array_join(x, ", ")).alias("examples"))
     shown = shown.withColumn("examples", F.filter("examples", lambda x: x != ""))
-    totals = wrong.groupBy("tag").agg(F.sum("violations").alias("violations"))
+    totals = reduce(DataFrame.union, [wrong.groupBy("tag").agg(F.sum("violations").alias("violations")), *counts])
     out = named.join(totals, "tag", "left").join(shown, "tag", "left")
     return out.select("kind", "table", "column", "rule", F.coalesce("violations", F.lit(0).cast("long")).alias("violations"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import likely_in, ship, stage
+from .common import likely_in, ship, stage, staged_so_far, unstage_since
 from .components import components
 from .text_arrays import U, distinct, mix64, sequence_keys, shingle_hashes, word_hashes
 
@@ -344,6 +344,7 @@ def _texts_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
 def _grouped(docs: DataFrame, percent: int, *extra: str) -> DataFrame:
     """doc_id, n_shingles, smallest for each row, and with extra columns (long), those and the label of its component."""
     ship(docs.sparkSession)
+    mark = staged_so_far()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
     passed = "".join(f", {c} long" for c in extra)
     signed = stage(docs.mapInArrow(_sign, f"doc_id long{passed}, cid binary, n_shingles long, bands array<long>, sketch array<long>"), "near-signed")
@@ -414,6 +415,7 @@ def _grouped(docs: DataFrame, percent: int, *extra: str) -> DataFrame:
     smallest = stage(final.groupBy("label").agg(F.min("least").alias("smallest")), "near-smallest")
     label = ["label"] if extra else []
     final = stage(final.join(smallest, "label").select("cid", "smallest", *label), "near-final")
+    unstage_since(mark, "near-signed", "near-final")
     return signed.select("doc_id", "cid", "n_shingles", *extra).join(final, "cid").drop("cid")
 
 
@@ -438,9 +440,11 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     every = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
     keyed = docs.withColumns({f"_r{i}": F.xxhash64(F.lit(i), *every) for i in (1, 2)})
+    mark = staged_so_far()
     rows = _grouped(keyed, percent, "_r1", "_r2")
     rows = rows.groupBy("label", "_r1", "_r2").agg(F.first("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
     rows = stage(rows, "near-rows")
+    unstage_since(mark, "near-rows")
     best = rows.where("n > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_r1", "_r2", "copies")).alias("best"))
     stay = best.select("best._r1", "best._r2", (F.col("best.copies") > 1).alias("_several"))
     stay = stage(stay.union(rows.where("n = 0").select("_r1", "_r2", F.lit(False))), "near-stay")

@@ -544,3 +544,12 @@ def test_pairs_of_large_blocks_are_all_compared(spark, monkeypatch, tile):
     classes = spark.createDataFrame(rows, "gid binary, norm string, weight long, chars int, keys array<long>")
     got = {bytes(r["node"]): bytes(r["component"]) for r in line_dedup.near_lines(classes.select("gid", "norm"), classes, Fraction(4, 5)).collect()}
     assert {x: y for x, y in got.items() if x != y} == {f"g{14 + i}".encode(): f"g0{3 + i}".encode() for i in range(3)}
+
+
+def test_steps_of_near_dedup_are_dropped(spark):
+    from ledgerloom.llm import common
+
+    mark = common.staged_so_far()
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 2}{k}" for k in range(20))) for i in range(4)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_dedup.one_of_each(docs, percent=80).collect()) == [0, 1]
+    assert sorted(path.rsplit("/", 1)[1].rsplit("-", 1)[0] for _, path in common._staged[mark:]) == ["near-rows", "near-stay"]

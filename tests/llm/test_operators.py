@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -546,6 +547,50 @@ def test_pairs_of_large_blocks_are_all_compared(spark, monkeypatch, tile):
     assert {x: y for x, y in got.items() if x != y} == {f"g{14 + i}".encode(): f"g0{3 + i}".encode() for i in range(3)}
 
 
+def test_letters_keep_all_near_lines_and_stop_others_before_a_row_is_made(spark):
+    rng = random.Random(17)
+    pairs = []
+    for i in range(300):
+        a = [rng.choice("aab cdeé.,zß1") for _ in range(rng.randint(10, 120))]
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 4)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice([[], ["a"], ["q"], ["é"], ["ß"]])
+        if i % 3 == 0:
+            b = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in a]
+        pairs.append((i, "".join(a), "".join(b)))
+    pairs.append((300, "a" * 60 + "b" * 40, "a" * 40 + "b" * 60))  # counts above 16: not told apart, and near
+    both = spark.createDataFrame(pairs, "i long, norm1 string, norm2 string")
+    sides = [line_dedup._lettered(both.select("i", F.col(f"norm{k}").alias("norm"), F.length(f"norm{k}").alias("chars"), F.size(F.split(f"norm{k}", " ")).alias("n_words"))).toDF("i", *[f"{c}{k}" for c in ("norm", "chars", "n_words", *[f"letters{n}" for n in range(len(line_dedup.LETTERS) // 4)])]) for k in "12"]
+    met = {r["i"] for r in sides[0].join(sides[1], "i").where(line_dedup._may_be_near(Fraction(4, 5))).collect()}
+    near = {i for i, a, b in pairs if _edit_distance(a, b) <= max(len(a), len(b)) // 5}
+    assert near <= met and 300 in met
+    assert len(met - near) < 60 <= len(pairs) - len(near)
+
+
+def test_pairs_of_a_large_block_that_are_not_near_leave_no_row(spark, monkeypatch):
+    rng = random.Random(21)
+    texts = [" ".join("".join(rng.choice("bcdfghklm") for _ in range(6)) for _ in range(12)) for _ in range(14)]
+    texts.append(texts[5][:-1] + "z")
+    rows = [(1, f"g{i:02}".encode(), len(t), 15, t) for i, t in enumerate(texts)]
+    members = spark.createDataFrame(rows, "key long, gid binary, chars int, members long, norm string")
+    joined = spark.createDataFrame([], "node binary, component binary")
+    compared, near = [], line_dedup._near
+    monkeypatch.setattr(line_dedup, "_near", lambda both, similarity: compared.append(both.count()) or near(both, similarity))
+    got = line_dedup._joining(members.select("gid", "norm"), members.drop("norm"), joined, Fraction(4, 5)).collect()
+    assert [(bytes(r["a"]), bytes(r["b"])) for r in got] == [(b"g05", b"g14")] and compared == [1]
+
+
+def test_steps_of_line_dedup_are_dropped_when_done(spark):
+    from ledgerloom.llm import common
+
+    one, two = (common.stage(spark.range(n), "step") for n in (3, 4))
+    path = Path(one.inputFiles()[0].removeprefix("file://"))
+    assert path.exists()
+    common.done_with(one)
+    assert not path.exists() and two.count() == 4
+
+
 def test_steps_of_near_dedup_are_dropped(spark):
     from ledgerloom.llm import common
 
